@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import bpe, sharding
+from ravelin.llm import bpe, decontaminate, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode_decode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sharding, op5_token_counts, op9_bpe_encode_decode)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sharding, op5_token_counts, op6_benchmark_decontamination, op7_quality_rules, op9_bpe_encode_decode)}
 
-ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding.SHARD_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding.SHARD_SQL, "op6_benchmark_decontamination": decontaminate.CONTAMINATED_SQL, "op7_quality_rules": quality.QUALITY_SQL}
