@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import bpe, decontaminate, quality, sharding, simhash
+from ravelin.llm import bpe, decontaminate, quality, sharding, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,6 @@ def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode_decode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op3_sharding, op5_token_counts, op6_benchmark_decontamination, op7_quality_rules, op9_bpe_encode_decode)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_sharding, op5_token_counts, op6_benchmark_decontamination, op7_quality_rules, op9_bpe_encode_decode)}
 
 ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding.SHARD_SQL, "op6_benchmark_decontamination": decontaminate.CONTAMINATED_SQL, "op7_quality_rules": quality.QUALITY_SQL}
