@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import bpe, decontaminate, langid, quality, sharding, simhash, substring, warc
+from ravelin.llm import bpe, decontaminate, langid, pseudo, quality, sharding, simhash, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo.score(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,6 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.flat_headers(warc.resolve_revisits(warc.records_of_pages(table(spark, sf_dir, "pages"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_sharding, op5_token_counts, op6_benchmark_decontamination, op7_quality_rules, op8_language_id, op9_bpe_encode_decode, op10_warc_revisits)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_sharding, op4_lm_scoring, op5_token_counts, op6_benchmark_decontamination, op7_quality_rules, op8_language_id, op9_bpe_encode_decode, op10_warc_revisits)}
 
 ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding.SHARD_SQL, "op6_benchmark_decontamination": decontaminate.CONTAMINATED_SQL, "op7_quality_rules": quality.QUALITY_SQL, "op10_warc_revisits": warc.WARC_SQL}
