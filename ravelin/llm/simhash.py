@@ -168,7 +168,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, prints = np.concatenate(kept_keys), np.concatenate(kept)
         many = np.zeros(len(keys), dtype=bool)
         same = keys[1:] == keys[:-1]
-        many[1:], many[:-1] = same, many[:-1] | same
+        many[1:] = same
+        many[:-1] |= same
         keys, prints = keys[many], prints[many]
         if len(keys):
             label = spanning(len(keys), Forest(keys, prints).search(keys, prints))
