@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ravelin.functions.payloads import BASE64, ESCAPES, FROM_HEX, HEX_BLOCK, HEX_ESCAPES, INVISIBLE, PERCENT, SPACES
 
@@ -39,7 +40,7 @@ def plain_spaces(text: Column | str) -> Column:
     return F.regexp_replace(F.translate(_c(text), SPACES, " " * len(SPACES)), " {2,}", " ")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 

@@ -7,6 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ravelin.functions.anchors import candidate_patterns
 from ravelin.sources.rules import Rule, java, pattern_rows, patterns_frame
@@ -16,7 +17,7 @@ MATCHED = 200
 BROADCAST_PATTERNS = 20_000
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(BooleanType())
 def _covered(texts: pa.Array, patterns: pa.Array, excludes: pa.Array) -> pa.Array:
     """Whether an exclusion lies over the first match."""
     out = []
