@@ -123,6 +123,14 @@ def _plain(text: str) -> bool:
 _FOLDED = {0x17F: "s", 0x131: "i", 0x130: "i"}
 
 
+def folded(text: str) -> str:
+    """Lower case of the same length."""
+    if not text.isascii():
+        for c, plain in _FOLDED.items():
+            text = text.replace(chr(c), plain)
+    return text.lower()
+
+
 class Prefilter:
     """Texts of all patterns in one automaton; travels as patterns, is built once a worker."""
 
@@ -152,7 +160,7 @@ class Prefilter:
         """array<int> of each line: the patterns that could match."""
         if self.machine is None:
             self.build()
-        texts = [t.lower() if t.isascii() else t.translate(_FOLDED).lower() for t in (t or "" for t in lines.to_pylist())]
+        texts = [folded(t) for t in (t or "" for t in lines.to_pylist())]
         found: list[set[int] | None] = [None] * len(texts)
         if self.any and texts:
             edges = np.cumsum([len(t) + 1 for t in texts])

@@ -24,13 +24,16 @@ _IMAGE = re.compile(r"data:image/[^;]*;base64,$", re.I)
 INVISIBLE = "​‌‍⁠﻿­"
 SPACES = "              　"
 _TABLE = {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in SPACES}
+_HIDDEN = re.compile(f"[{INVISIBLE}{SPACES}]")
 _BLANKS = re.compile(" {2,}")
 
 
 def normalize(text: str) -> str:
     """NFKC, without invisible signs, with plain and single blanks."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_TABLE)
+        text = unicodedata.normalize("NFKC", text)
+        if _HIDDEN.search(text):
+            text = text.translate(_TABLE)
     return _BLANKS.sub(" ", text) if "  " in text else text
 
 

@@ -73,10 +73,14 @@ def encoded(line: Column | str) -> Column:
             texts = F.filter(texts, lambda t: F.length(F.replace(t, F.lit(" "), F.lit(""))) >= 20)
         if kind == "base64":
             texts = F.filter(texts, lambda t: F.length(t) >= 20)
-        found.append(F.transform(texts, lambda t, kind=kind: F.struct(F.lit(kind).alias("kind"), t.alias("encoded"))))
+        found.append(_named(kind, texts))
     return F.concat(*found)
 
 
+def _named(kind: str, texts: Column) -> Column:
+    return F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("encoded")))
+
+
 def decoded(kind: Column | str, text: Column | str) -> Column:
     """What was encoded; null where it isn't UTF-8. Unicode escapes are of four digits here."""
     t = _c(text)

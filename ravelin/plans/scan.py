@@ -12,6 +12,7 @@ from ravelin.functions.roles import role
 from ravelin.functions.scanner import scan_columns
 from ravelin.functions.text import all_lines, noqa_ids
 from ravelin.operators import filesafety, risk, signals
+from ravelin.plans.store import kept
 from ravelin.sources.config import ScanConfig
 from ravelin.sources.rules import active_rules
 
@@ -34,12 +35,12 @@ def merge_syntax() -> str:
     """SQL: findings of patterns, each replaced by the last one of syntax with its rule and line; then those of syntax only, the first of each."""
     return """
       concat(
-        transform(found, f -> coalesce(element_at(filter(syntax, s -> s.rule_id = f.rule_id AND s.line = f.line), -1), f)),
+        transform(found, f -> coalesce(try_element_at(filter(syntax, s -> s.rule_id = f.rule_id AND s.line = f.line), -1), f)),
         filter(syntax, (s, i) -> NOT exists(found, f -> f.rule_id = s.rule_id AND f.line = s.line)
           AND NOT exists(slice(syntax, 1, i), e -> e.rule_id = s.rule_id AND e.line = s.line)))"""
 
 
-def content_findings(files: DataFrame, rules: list, max_file_size: int = 500_000) -> DataFrame:
+def content_findings(files: DataFrame, rules: list) -> DataFrame:
     """The findings of the contents (package_id, file, ord, ..., suppressed) of files; no shuffle."""
     active = F.array(*(F.lit(r.rule_id) for r in rules), *(F.lit(a) for a in ALWAYS))
     python = F.when(F.col("relative_path").endswith(".py"), F.col("content"))
@@ -67,7 +68,8 @@ def scan(files: DataFrame, config: ScanConfig | None = None) -> Scan:
     rules = [*builtin, *(r for r in active_rules((), config.custom_rules) if not r.builtin and r.rule_id not in config.suppress_rules)]
     known = files.withColumn("fs", filesafety.safety_rule(config, files.columns))
     read = known.filter(F.col("fs").isNull() | ~F.col("fs").isin(*filesafety.NOT_READ))
-    contents = content_findings(read, rules, config.max_file_size)
+    # texts are scanned once; what is found feeds several aggregates
+    contents = kept(content_findings(read, rules))
     broken = filesafety.as_findings(read.filter("content IS NULL").select("package_id", F.col("relative_path").alias("file"), F.lit("FS-001").alias("rule_id")))
     safety = filesafety.safety_findings(files, config)
     names = filesafety.schema_findings(files, files.select("package_id").distinct(), config.strict_schema)
@@ -76,7 +78,7 @@ def scan(files: DataFrame, config: ScanConfig | None = None) -> Scan:
         F.lit(None).cast("int").alias("line"), F.lit("").alias("matched_text"), F.concat(F.lit("The front matter isn't valid: "), "error").alias("description"), F.lit("Put it right").alias("recommendation"),
     )
     findings = schema.unionByName(safety).unionByName(broken).unionByName(contents.filter("NOT suppressed").select(*FINDING))
-    text = signals.text_signals(read)
+    text = kept(signals.text_signals(read))
     totals = known.groupBy("package_id").agg(
         F.sum(F.when(F.col("fs").isNull() | ~F.col("fs").isin(*filesafety.NOT_READ), 1).otherwise(0)).alias("files_scanned"),
         F.sum(F.when((F.col("fs") == "FS-002"), 1).otherwise(0)).alias("binary"),
