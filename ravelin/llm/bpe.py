@@ -29,9 +29,11 @@ from ravelin.llm.text import lists, raw, steps
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words that a worker remembers between batches; beyond it, it starts anew. Words over the length aren't kept.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+CACHE_WORDS, CACHE_LENGTH = 100_000, 64
+#: Pairs of tokens of which a worker remembers whether one may follow the other.
+CACHE_PAIRS = 200_000
 #: Bytes of text whose distinct words make one trie.
-TRIE_BYTES = 1 << 24
+TRIE_BYTES = 1 << 22
 REPLACEMENT = "�".encode()
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -145,7 +147,7 @@ class Bpe:
         # what merging never makes can't be the last token of anything
         self.ends = {t: i for t, i in self.rank.items() if len(t) == 1 or left[i] != i}
         self.longest = max(map(len, self.rank), default=1)
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         self.words: dict[bytes, bytes] = {}
 
     def __reduce__(self):
@@ -153,10 +155,10 @@ class Bpe:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the encoding of their joined bytes is a, b: no merge crosses the border."""
-        key = (a, b)
+        key = a << 32 | b
         if (hit := self.known.get(key)) is not None:
             return hit
-        if len(self.known) > 1_000_000:
+        if len(self.known) > CACHE_PAIRS:
             self.known.clear()
         pair, left, right, limit = self.pair.get, self.left, self.right, 1 << 60
         while True:
@@ -308,7 +310,9 @@ def encode(spark: SparkSession, text: Column | str, vocabulary: str = VOCABULARY
     @F.arrow_udf("array<int>")
     def encoder(column: pa.Array) -> pa.Array:
         bpe = _WORKER.setdefault(vocabulary, shared.value)
-        return encode_column(column, bpe)
+        ids = encode_column(column, bpe)
+        pa.default_memory_pool().release_unused()
+        return ids
 
     return encoder(text)
 
@@ -319,7 +323,9 @@ def decode(spark: SparkSession, ids: Column | str, vocabulary: str = VOCABULARY)
 
     @F.arrow_udf("string")
     def decoder(column: pa.Array) -> pa.Array:
-        return decode_column(column, shared.value)
+        text = decode_column(column, shared.value)
+        pa.default_memory_pool().release_unused()
+        return text
 
     return decoder(ids)
 
