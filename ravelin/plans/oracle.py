@@ -141,6 +141,35 @@ def _says(text: str, what: str) -> str:
 _HINTED = " OR ".join(f"contains(lower(s), {q(h)})" for h in signals.HINTS)
 _SNIPPETS = r"""list_concat(list_concat(regexp_extract_all(content, '(?s)```[^\n`]*\n(.*?)```', 1), regexp_extract_all(content, '`([^`\n]{4,200})`', 1)),
   regexp_extract_all(content, '(?im)^\s*(?:\$|PS>|cmd>)?\s*(?:curl|wget|bash|sh|python|pwsh|powershell)\b[^\n]+$', 0))"""
+_COMMAND = f"len(list_filter(list_transform({_SNIPPETS}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda s: {_HINTED})) > 0"
+_SIGNALS = f"""texts AS (SELECT package_id, relative_path AS file, content, {_role('relative_path')} AS role, {_COMMAND} AS command FROM ({PLANTED_SQL})),
+asked AS (SELECT * FROM texts WHERE NOT (role = 'reference' AND {_says("content", "warning")})),
+sig AS (
+  SELECT package_id, file, role, 'PKG-001' AS rule_id, CASE WHEN {_says("content", "coercion")} THEN 'high' ELSE 'medium' END AS severity, 'operator-manipulation' AS driver FROM asked
+  WHERE command AND ({_says("content", "coercion")} OR (role IN ('entrypoint', 'support-doc') AND contains(lower(content), 'run')))
+  UNION ALL SELECT package_id, file, role, 'PKG-003', 'high', 'credential-access' FROM asked WHERE {_says("content", "secret")}
+  UNION ALL SELECT package_id, file, role, 'PKG-002', CASE WHEN NOT {_says("content", "remote")} AND {_says("content", "piped")} THEN 'critical' ELSE 'high' END, 'remote-bootstrap' FROM asked
+  WHERE {_says("content", "remote")} OR (command AND {_says("content", "bootstrap")}))"""
+_DRIVERS = ("credential-access", "execution", "exfiltration", "operator-manipulation", "remote-bootstrap", "stealth/obfuscation")
+_RISK = f"""{_MARKED}, {_SIGNALS},
+a AS (SELECT package_id, 'f' AS src, {_role('relative_path')} AS role, {_DRIVER} AS driver, severity FROM marked UNION ALL SELECT package_id, 's', role, driver, severity FROM sig),
+b AS (SELECT *, {_RANK} AS rank, CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 7 WHEN 'medium' THEN 4 WHEN 'low' THEN 2 ELSE 0.5 END
+    * CASE role WHEN 'entrypoint' THEN 1.4 WHEN 'script' THEN 1.35 WHEN 'config' THEN 1.1 WHEN 'support-doc' THEN 0.8 ELSE 0.35 END
+    * CASE WHEN role = 'reference' AND driver IN ('operator-manipulation', 'remote-bootstrap') THEN 0.6 ELSE 1.0 END AS pts,
+  role IN ('entrypoint', 'script') AND driver IN ('execution', 'exfiltration', 'operator-manipulation', 'remote-bootstrap') AND severity IN ('high', 'critical') AS danger FROM a),
+g AS (SELECT package_id, sum(pts) AS base, count(DISTINCT role) FILTER (WHERE rank >= 2) >= 2 AS wide, bool_or(danger) AS direct, bool_or(danger AND rank = 4) AS severe,
+  bool_or(src = 's' AND driver IN ('operator-manipulation', 'remote-bootstrap') AND role IN ('entrypoint', 'support-doc')) AND bool_or(src = 'f' AND driver IN ('execution', 'exfiltration') AND role = 'script') AS c1,
+  bool_or(src = 's' AND driver = 'remote-bootstrap' AND role = 'config') AND bool_or(src = 'f' AND driver IN ('execution', 'exfiltration') AND role = 'script') AS c2,
+  bool_or(src = 's' AND driver = 'credential-access') AND bool_or(src = 'f' AND driver = 'exfiltration') AS c3 FROM b GROUP BY package_id),
+n AS (SELECT p.package_id, coalesce(base, 0) AS base, coalesce(wide, false) AS wide, coalesce(direct, false) AS direct, coalesce(severe, false) AS severe, CAST(coalesce(c1, false) AS INT) AS c1, CAST(coalesce(c2, false) AS INT) AS c2, CAST(coalesce(c3, false) AS INT) AS c3
+  FROM (SELECT DISTINCT package_id FROM planted) p LEFT JOIN g USING (package_id)),
+s AS (SELECT *, base + 6 * (c1 + c2 + c3) + CASE WHEN wide THEN 6 ELSE 0 END AS score FROM n),
+d AS (SELECT s.package_id, x.driver, coalesce((SELECT sum(pts) FROM b WHERE b.package_id = s.package_id AND b.driver = x.driver), 0)
+    + CASE x.driver WHEN 'credential-access' THEN c3 * 6 WHEN 'execution' THEN c1 * 6 + c2 * 4 WHEN 'exfiltration' THEN c3 * 6 WHEN 'operator-manipulation' THEN c1 * 6 + CASE WHEN wide THEN 3 ELSE 0 END
+      WHEN 'remote-bootstrap' THEN c2 * 6 + CASE WHEN wide THEN 3 ELSE 0 END ELSE 0 END AS pts FROM s, (SELECT unnest({list(_DRIVERS)}) AS driver) x),
+t AS (SELECT package_id, string_agg(driver, ',' ORDER BY pts DESC, driver) AS top_drivers FROM (SELECT * FROM d WHERE pts > 0 QUALIFY row_number() OVER (PARTITION BY package_id ORDER BY pts DESC, driver) <= 3) GROUP BY package_id)
+SELECT s.package_id, CAST(round_even(score, 0) AS INTEGER) AS score, CASE WHEN severe OR score >= 40 THEN 'severe' WHEN direct OR score >= 20 THEN 'high' WHEN score >= 8 THEN 'guarded' ELSE 'low' END AS band,
+  coalesce(top_drivers, '') AS top_drivers, c1 + c2 + c3 AS correlated_signal_count FROM s LEFT JOIN t USING (package_id)"""
 _COMMANDS = f"SELECT doc_id FROM ({PLANTED_SQL}) WHERE len(list_filter(list_transform({_SNIPPETS}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda s: {_HINTED})) > 0"
 _URLS = f"""WITH u AS (SELECT page_id, {_HOSTILE} AS url FROM pages),
 h AS (SELECT *, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host, lower(regexp_extract(url, '^https?://[^/?#]*([^?#;]*)', 1)) AS path, string_split(regexp_extract(url, '\\?([^#]*)', 1), '&') AS pairs FROM u),
@@ -188,6 +217,8 @@ ORACLE_SQL: dict[str, str] = {f"match_{c.replace('-', '_')}": _category(c) for c
     "frontmatter_validate": _FRONT,
     "file_roles": f"SELECT doc_id, {_role('relative_path')} AS role FROM ({PLANTED_SQL})",
     "role_counts": f"SELECT package_id, {_role('relative_path')} AS role, count(*) AS n FROM ({PLANTED_SQL}) GROUP BY ALL",
+    "operator_signals": f"WITH {_SIGNALS} SELECT package_id, file, role, rule_id, severity, driver FROM sig",
+    "risk_bands": _RISK,
     "command_snippets": _COMMANDS,
     "url_signals": _URLS,
     "remote_source_validate": _REMOTE,

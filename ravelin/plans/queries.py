@@ -132,6 +132,17 @@ def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.text_signals(planted_files(spark, sf_dir)).select("package_id", "file", "role", "rule_id", "severity", "driver", "suspicious_urls")
 
 
+def operator_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of wording alone, without those of URLs."""
+    return text_signals(spark, sf_dir).filter("rule_id IN ('PKG-001', 'PKG-002', 'PKG-003')").drop("suspicious_urls")
+
+
+def risk_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wording = signals.text_signals(planted_files(spark, sf_dir)).filter("rule_id IN ('PKG-001', 'PKG-002', 'PKG-003')")
+    done = risk.risks(planted_files(spark, sf_dir).select("package_id"), _marked(spark, sf_dir), wording)
+    return done.select("package_id", "score", "band", F.array_join("top_drivers", ",").alias("top_drivers"), "correlated_signal_count")
+
+
 def command_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = planted_files(spark, sf_dir)
     return files.filter(signals.has_command("content")).select("doc_id")
@@ -228,7 +239,7 @@ def content_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PLAIN = (
     lines_explode, match_file_scope, match_strict, normalize_lines, match_normalized, payload_extract, payload_decode, fewshot_pairs, fewshot_lines, fence_lines, compound_windows,
-    compound_attacks, noqa_lines, rule_suppression, custom_rules, file_safety, frontmatter_validate, file_roles, role_counts, text_signals, command_snippets, url_signals, remote_source_validate,
+    compound_attacks, noqa_lines, rule_suppression, custom_rules, file_safety, frontmatter_validate, file_roles, role_counts, text_signals, operator_signals, risk_bands, command_snippets, url_signals, remote_source_validate,
     severity_counts, verdict, fail_on, risk_points, report_groups, sarif_rows, scan_findings, scan_results, json_report, sarif_report, text_report, python_syntax, content_scan,
 )
 QUERIES: dict[str, Query] = {f"match_{c.replace('-', '_')}": partial(match_category, category=c) for c in CATEGORIES} | {f.__name__: f for f in _PLAIN}
