@@ -25,15 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.text import lists, raw, steps
+from ravelin.llm.text import lean, lists, raw, steps
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words that a worker remembers between batches; beyond it, it starts anew. Words over the length aren't kept.
-CACHE_WORDS, CACHE_LENGTH = 100_000, 64
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 #: Pairs of tokens of which a worker remembers whether one may follow the other.
-CACHE_PAIRS = 200_000
+CACHE_PAIRS = 400_000
 #: Bytes of text whose distinct words make one trie.
-TRIE_BYTES = 1 << 22
+TRIE_BYTES = 1 << 23
 REPLACEMENT = "�".encode()
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -308,11 +308,10 @@ def encode(spark: SparkSession, text: Column | str, vocabulary: str = VOCABULARY
     shared = spark.sparkContext.broadcast(load(vocabulary))
 
     @F.arrow_udf("array<int>")
+    @lean
     def encoder(column: pa.Array) -> pa.Array:
         bpe = _WORKER.setdefault(vocabulary, shared.value)
-        ids = encode_column(column, bpe)
-        pa.default_memory_pool().release_unused()
-        return ids
+        return encode_column(column, bpe)
 
     return encoder(text)
 
@@ -322,10 +321,9 @@ def decode(spark: SparkSession, ids: Column | str, vocabulary: str = VOCABULARY)
     shared = spark.sparkContext.broadcast(load_ranks(vocabulary))
 
     @F.arrow_udf("string")
+    @lean
     def decoder(column: pa.Array) -> pa.Array:
-        text = decode_column(column, shared.value)
-        pa.default_memory_pool().release_unused()
-        return text
+        return decode_column(column, shared.value)
 
     return decoder(ids)
 
@@ -459,6 +457,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = FREQ
     shared = spark.sparkContext.broadcast(bpe)
 
     @F.arrow_udf("struct<n_pretokens: bigint, n_tokens: bigint, n_looked_up: bigint>")
+    @lean
     def counter(column: pa.Array) -> pa.Array:
         second = _COUNTERS.setdefault(vocabulary, Counter(shared.value))
         data, offsets = raw(column)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.text import FOLD_FROM, FOLD_TO, WORD_RE2, Words, grams, lists, mix, raw, sliding_min, steps
+from ravelin.llm.text import FOLD_FROM, FOLD_TO, WORD_RE2, Words, grams, lean, lists, mix, raw, sliding_min, steps
 
 SHINGLE, THRESHOLD, PERMUTATIONS = 5, 0.7, 6
 BROADCAST_BYTES = 32 << 20
@@ -124,6 +124,7 @@ def _search(text: Column | str, index: Index, spark) -> Column:
     shared = spark.sparkContext.broadcast(index)
 
     @F.arrow_udf("array<struct<item: int, containment: double>>")
+    @lean
     def search(column: pa.Array) -> pa.Array:
         return containments(column, shared.value)
 

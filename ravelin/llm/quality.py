@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.text import FOLD_FROM, FOLD_TO, WORD_RE2, Words, raw, steps
+from ravelin.llm.text import FOLD_FROM, FOLD_TO, WORD_RE2, Words, lean, raw, steps
 
 #: Character classes by byte; a non-ASCII character counts once, by its first byte.
 CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "sign", "control", "other")
@@ -111,6 +111,7 @@ def judged(text: Column | str, lang: Column | str, reference: Reference) -> Colu
     keep = {k: (np.array(c), np.array(w)) for k, (c, w) in reference.items()}
 
     @F.arrow_udf("struct<n_words: bigint, class_distance: double, word_distance: double, accepted: boolean>")
+    @lean
     def judge(texts: pa.Array, langs: pa.Array) -> pa.Array:
         classes, slots = histograms(texts)
         n = slots.sum(1)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ravelin.llm.shared import components, saved
-from ravelin.llm.text import Words, mix, raw, steps
+from ravelin.llm.text import Words, lean, mix, raw, steps
 
 RADIUS, BANDS, BAND_BITS = 16, 32, 18
 BROADCAST_FINGERPRINTS = 20_000
@@ -62,7 +62,7 @@ def fingerprints(column: pa.Array) -> pa.Array:
 
 
 def fingerprint(text: Column | str) -> Column:
-    return F.arrow_udf(fingerprints, "binary")(text)
+    return F.arrow_udf(lean(fingerprints), "binary")(text)
 
 
 def shard_keys(prints: np.ndarray) -> np.ndarray:

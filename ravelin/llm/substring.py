@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ravelin.llm.shared import saved
-from ravelin.llm.text import Words, grams, lists, mix, raw, sliding_min, steps
+from ravelin.llm.text import Words, grams, lean, lists, mix, raw, sliding_min, steps
 
 MIN_WORDS, SEED = 50, 24
 #: Seeds among which one is an anchor; also the number of runs of MIN_WORDS words that hold a given seed.
@@ -147,7 +147,9 @@ def parts_of(runs: list[tuple[int, bool]]) -> list[tuple[int, int, bool]]:
     return out
 
 
-_arrow = F.arrow_udf
+
+def _arrow(function, kind: str):
+    return F.arrow_udf(lean(function), kind)
 
 
 def _spans(docs: DataFrame) -> DataFrame:
