@@ -8,7 +8,7 @@ one vector for each neighbour by its place, takes tanh, and has a two-level soft
 
 The counts of all words of all documents give the vocabulary and the first biases.
 The network is trained in numpy where the documents are: every task takes one pass
-over every STRIDE-th token of its documents, from the same start, and the results are
+over all tokens of its documents, from the same start, and the results are
 averaged by the number of tokens, so what is gathered grows with the input.
 """
 
@@ -27,7 +27,7 @@ from ravelin.llm.text import Words, raw, steps
 BLOCK, OTHERS, VOCABULARY = 64, 32, 2016
 IDS = OTHERS + VOCABULARY
 NEIGHBOURS, HIDDEN = (-2, -1, 1, 2), 32
-STRIDE, BATCH, RATE = 16, 512, 0.1
+BATCH, RATE = 512, 0.1
 #: Words of which one step scores as many.
 STEP_WORDS = 1 << 15
 #: Pieces in which weights travel, so that averaging is spread over tasks.
@@ -133,28 +133,39 @@ class Network:
         out = np.exp(out - log_sum(out)[:, None])
         out[np.arange(n), block] -= 1
         back = out @ blocks.T
-        grads = [None, None, h.T @ out, out.sum(0), None, None]
+        grads = [h.T @ out, out.sum(0), np.zeros_like(tokens), np.zeros_like(token_bias)]
         order = np.argsort(block, kind="stable")
-        edges = np.searchsorted(block[order], np.arange(len(block_bias) + 1))
-        for b in np.unique(block).tolist():
-            mine = order[edges[b] : edges[b + 1]]
-            inner = h[mine] @ tokens[b] + token_bias[b]
-            inner = np.exp(inner - log_sum(inner)[:, None])
-            inner[np.arange(len(mine)), within[mine]] -= 1
-            back[mine] += inner @ tokens[b].T
-            adagrad(tokens[b], h[mine].T @ inner / n, squares[4][b])
-            adagrad(token_bias[b], inner.sum(0) / n, squares[5][b])
+        edges = np.searchsorted(block[order], np.arange(len(block_bias) + 1)).tolist()
+        used = [(b, edges[b], edges[b + 1]) for b in range(len(block_bias)) if edges[b] < edges[b + 1]]
+        # the tokens of a block lie together, so that only products go block by block
+        mine, inner = h[order], token_bias[block[order]]
+        for b, lo, hi in used:
+            inner[lo:hi] += mine[lo:hi] @ tokens[b]
+        inner = np.exp(inner - log_sum(inner)[:, None])
+        inner[np.arange(n), within[order]] -= 1
+        inner /= n
+        from_inner = np.empty_like(h)
+        for b, lo, hi in used:
+            np.matmul(inner[lo:hi], tokens[b].T, out=from_inner[lo:hi])
+            np.matmul(mine[lo:hi].T, inner[lo:hi], out=grads[2][b])
+            inner[lo:hi].sum(0, out=grads[3][b])
+        back /= n
+        back[order] += from_inner
         back *= 1 - h * h
-        for j in range(len(NEIGHBOURS)):
-            ids, which = np.unique(context[:, j], return_inverse=True)
-            summed = np.zeros((len(ids), HIDDEN), np.float32)
-            np.add.at(summed, which, back / n)
-            part, square = near[j][ids], squares[0][j][ids]
-            adagrad(part, summed, square)
-            near[j][ids], squares[0][j][ids] = part, square
-        adagrad(bias, back.sum(0) / n, squares[1])
-        adagrad(blocks, grads[2] / n, squares[2])
-        adagrad(block_bias, grads[3] / n, squares[3])
+        # vectors of all places in one table; those of one word are summed as a run
+        places = (context + np.arange(len(NEIGHBOURS)) * (IDS + 1)).ravel()
+        order = np.argsort(places, kind="stable")
+        begins = np.flatnonzero(np.diff(places[order], prepend=-1))
+        ids = places[order][begins]
+        flat, flat_squares = near.reshape(-1, HIDDEN), squares[0].reshape(-1, HIDDEN)
+        part, square = flat[ids], flat_squares[ids]
+        adagrad(part, np.add.reduceat(back[order // len(NEIGHBOURS)], begins), square)
+        flat[ids], flat_squares[ids] = part, square
+        adagrad(bias, back.sum(0), squares[1])
+        adagrad(blocks, grads[0] / n, squares[2])
+        adagrad(block_bias, grads[1] / n, squares[3])
+        adagrad(tokens, grads[2], squares[4])
+        adagrad(token_bias, grads[3], squares[5])
         near[:, IDS] = 0
 
 
@@ -180,7 +191,7 @@ def contexts(ids: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, words: Vocabulary, stride: int = STRIDE) -> Network:
+def train(docs: DataFrame, words: Vocabulary) -> Network:
     """The average of what every task learns from its documents."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(words)
@@ -195,7 +206,7 @@ def train(docs: DataFrame, words: Vocabulary, stride: int = STRIDE) -> Network:
             for lo, hi in steps(offsets):
                 found = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 ids = own.ids(found)
-                at = np.arange(0, len(ids), stride)
+                at = np.arange(len(ids))
                 waiting.append((contexts(ids, found.rows, at), ids[at]))
                 seen += len(at)
                 context, token = (np.concatenate(x) for x in zip(*waiting, strict=True))

@@ -110,6 +110,17 @@ def test_training_lowers_the_loss_and_order_matters():
     assert network.log_probabilities(pseudo.contexts(mixed, found.rows, at), mixed).mean() < network.log_probabilities(context, ids).mean() - 1
 
 
+def test_training_predicts_every_word(make):
+    docs = make([(i, "a b " * 2000) for i in range(4)])
+    words = pseudo.vocabulary(docs)
+    network = pseudo.train(docs, words)
+    data = np.frombuffer(b"a b " * 20, np.uint8)
+    found = Words(data, np.array([0, len(data)]))
+    ids = words.ids(found)
+    got = network.log_probabilities(pseudo.contexts(ids, found.rows, np.arange(len(ids))), ids)
+    assert got[0::2].mean() > -0.3 and got[1::2].mean() > -0.3
+
+
 def test_vocabulary_counts_all_words(make):
     got = pseudo.vocabulary(make([(1, "a a b"), (2, "b c a"), (3, None), (4, "")]))
     assert got.words.to_pylist() == [b"a", b"b", b"c"] and got.counts[pseudo.OTHERS : pseudo.OTHERS + 3].tolist() == [3, 2, 1]
