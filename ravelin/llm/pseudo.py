@@ -2,11 +2,13 @@
 
 Every token is predicted from the tokens on both sides of it; the sum of the log
 conditional probabilities scores a document. Tokens are words: the VOCABULARY most
-frequent of all documents, other words by hash in OTHERS buckets. The network adds
+frequent of all documents, other words by hash in OTHERS buckets; a word's share of its
+bucket is by its count or spelling (Rest). The network adds
 one vector for each neighbour by its place, takes tanh, and has a two-level softmax
 (a token's block of BLOCK ids, then the token in its block).
 
-The counts of all words of all documents give the vocabulary and the first biases.
+The counts of all words of all documents give the vocabulary, the first biases and the
+shares in buckets.
 The network is trained in numpy where the documents are: every task takes one pass
 over all tokens of its documents, from the same start, and the results are
 averaged by the number of tokens, so what is gathered grows with the input.
@@ -22,23 +24,72 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.llm.shared import saved
 from ravelin.llm.text import Words, raw, steps
 
 BLOCK, OTHERS, VOCABULARY = 64, 32, 2016
 IDS = OTHERS + VOCABULARY
 NEIGHBOURS, HIDDEN = (-2, -1, 1, 2), 32
 BATCH, RATE = 512, 0.1
+#: Words beyond the vocabulary that keep counts of their own; all others go by spelling.
+LISTED = 1 << 16
+#: The bytes of words, and 0 for the edges of a word.
+_SYMBOL = np.zeros(256, np.int64)
+_SYMBOL[[*range(48, 58), 95, *range(97, 123), *range(128, 256)]] = range(1, 166)
+SYMBOLS = 166
 #: Words of which one step scores as many.
 STEP_WORDS = 1 << 15
 #: Pieces in which weights travel, so that averaging is spread over tasks.
 PIECES = 64
 
 
+class Rest:
+    """P(word | bucket) of the words outside the vocabulary, so that each has a probability of its own.
+
+    ``words`` have theirs by ``counts``, out of what their bucket has (``shares``). All others, unseen
+    ones too, divide what is left of a bucket by their spelling: a chain over bytes given the two
+    before, from ``spelt``, the trigrams of all distinct words outside the vocabulary. As buckets are
+    by hash, 1 / OTHERS of all spellings is taken to be in each.
+    """
+
+    def __init__(self, words: list[bytes], counts: list[int], shares: np.ndarray, spelt: np.ndarray):
+        self.words = pa.array(words, pa.large_binary())
+        left = np.array(shares, np.float64)
+        own = np.array(counts, np.float64)
+        if len(words):
+            bucket = buckets(self.words)[1]
+            left -= np.bincount(bucket, own, OTHERS)
+            self.listed = (np.log(own) - np.log(shares[bucket] + 1)).astype(np.float32)
+        else:
+            self.listed = np.zeros(0, np.float32)
+        # one more word than there are, for those that are unseen
+        self.left = np.log(np.maximum(left, 0) + 1) - np.log(np.asarray(shares) + 1) + np.log(OTHERS)
+        three = np.asarray(spelt, np.float64).reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+        two = three.sum(0)
+        two = (two + 1 / SYMBOLS) / (two.sum(1, keepdims=True) + 1)
+        self.spelling = np.log((three + two) / (three.sum(2, keepdims=True) + 1)).astype(np.float32).ravel()
+
+    def log_probabilities(self, words: Words, ids: np.ndarray) -> np.ndarray:
+        """Of each word given its bucket; 0 for the words of the vocabulary."""
+        out = np.zeros(len(ids))
+        rare = np.flatnonzero(ids < OTHERS)
+        if not len(rare):
+            return out
+        inner, last = spellings(words)
+        spelt = np.add.reduceat(self.spelling[inner].astype(np.float64), words.at) + self.spelling[last]
+        out[rare] = self.left[ids[rare]] + spelt[rare]
+        if len(self.words):
+            at = np.asarray(pc.index_in(words.array().take(pa.array(rare)), value_set=self.words).fill_null(-1))
+            out[rare[at >= 0]] = self.listed[at[at >= 0]]
+        return out
+
+
 class Vocabulary:
-    def __init__(self, words: list[bytes], counts: list[int], total: int):
+    def __init__(self, words: list[bytes], counts: list[int], total: int, rest: Rest | None = None):
         self.words = pa.array(words, pa.large_binary())
         others = max(0, total - sum(counts)) / OTHERS
         self.counts = np.array([others] * OTHERS + list(counts) + [0] * (VOCABULARY - len(counts)), np.float64)
+        self.rest = rest or Rest([], [], self.counts[:OTHERS], np.zeros(SYMBOLS**3))
 
     def ids(self, words: Words) -> np.ndarray:
         known = np.asarray(pc.index_in(words.array(), value_set=self.words).fill_null(-1)).astype(np.int64)
@@ -63,11 +114,68 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
                 yield from summed.to_batches()
 
     # the empty word stands for all words together
-    counted = docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = saved(docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     top = counted.orderBy(F.col("word") != F.lit(b""), F.col("n").desc(), "word").limit(VOCABULARY + 1).collect()
     total = sum(r["n"] for r in top if not r["word"])
     kept = [r for r in top if r["word"]][:VOCABULARY]
-    return Vocabulary([bytes(r["word"]) for r in kept], [r["n"] for r in kept], total)
+    known = [bytes(r["word"]) for r in kept]
+    return Vocabulary(known, [r["n"] for r in kept], total, the_rest(counted.filter("word <> X''"), known))
+
+
+def the_rest(counted: DataFrame, known: list[bytes]) -> Rest:
+    """Of the counts (word, n) of all words, what the words outside ``known`` are told apart by."""
+    at_least, listed = 0, 0
+    for r in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.col("n").desc()).limit(LISTED + len(known) + 1).collect():
+        listed += r["words"]
+        if listed > LISTED + len(known):
+            at_least = r["n"] + 1
+            break
+    vocabulary = pa.array(known, pa.large_binary())
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelt, shares = np.zeros(SYMBOLS**3, np.int64), np.zeros(OTHERS, np.int64)
+        for batch in batches:
+            mine = batch.filter(pc.invert(pc.is_in(batch.column(0).cast(pa.large_binary()), value_set=vocabulary)))
+            if not len(mine):
+                continue
+            each, bucket = buckets(mine.column(0))
+            shares += np.bincount(bucket, np.asarray(mine.column(1)), OTHERS).astype(np.int64)
+            inner, last = spellings(each)
+            spelt += np.bincount(np.concatenate([inner, last]), minlength=SYMBOLS**3)
+        keys = np.flatnonzero(spelt)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([keys, -1 - np.arange(OTHERS)])), "n": pa.array(np.concatenate([spelt[keys], shares]))})
+
+    spelt, shares = np.zeros(SYMBOLS**3), np.zeros(OTHERS)
+    for r in counted.mapInArrow(spell, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
+        if r["key"] < 0:
+            shares[-1 - r["key"]] = r["n"]
+        else:
+            spelt[r["key"]] = r["n"]
+    inside = set(known)
+    own = [(bytes(r["word"]), r["n"]) for r in counted.filter(F.col("n") >= at_least).toLocalIterator() if bytes(r["word"]) not in inside]
+    return Rest([w for w, _ in own], [n for _, n in own], shares, spelt)
+
+
+def buckets(words: pa.Array) -> tuple[Words, np.ndarray]:
+    """Words given one by one, and their buckets."""
+    column = words.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    each = Words(data, offsets - offsets[0])
+    return each, (each.hashes % np.uint64(OTHERS)).astype(np.int64)
+
+
+def spellings(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte, and for the end of every word, the number of (byte two before, byte before, byte)."""
+    now = _SYMBOL[words.bytes]
+    before = np.zeros_like(now)
+    before[1:] = now[:-1]
+    before[words.at] = 0
+    first = np.zeros_like(now)
+    first[1:] = before[:-1]
+    first[words.at] = 0
+    last = words.at + words.lengths - 1
+    return (first * SYMBOLS + before) * SYMBOLS + now, (before[last] * SYMBOLS + now[last]) * SYMBOLS
 
 
 class Network:
@@ -253,6 +361,7 @@ def score_column(column: pa.Array, words: Vocabulary, network: Network) -> tuple
         for a in range(0, len(ids), STEP_WORDS):
             at = np.arange(a, min(a + STEP_WORDS, len(ids)))
             sums[at + 1] = network.log_probabilities(contexts(ids, found.rows, at), ids[at])
+        sums[1:] += words.rest.log_probabilities(found, ids)
         total[lo:hi] = np.diff(np.cumsum(sums)[found.rows])
     return many, total
 

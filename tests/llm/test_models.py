@@ -121,6 +121,34 @@ def test_training_predicts_every_word(make):
     assert got[0::2].mean() > -0.3 and got[1::2].mean() > -0.3
 
 
+def test_words_of_a_bucket_have_their_own_share(make, monkeypatch):
+    monkeypatch.setattr(pseudo, "VOCABULARY", 8)
+    common = " ".join(f"the{i} " * 50 for i in range(8))
+    docs = make([(1, common), (2, "garden " * 30), (3, " ".join(f"garden{c}" for c in "abcdefghijklmnopqrstuvwxyz"))])
+    words = pseudo.vocabulary(docs)
+
+    def share(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        found = Words(data, np.array([0, len(data)]))
+        return words.rest.log_probabilities(found, words.ids(found))[0]
+
+    assert share("the3") == 0
+    assert share("gardenq") < share("garden") < 0
+    assert share("xqzjvkwpfy") < share("gardens") - 10
+    every = {}
+    for w in ["garden", *(f"garden{c}" for c in "abcdefghijklmnopqrstuvwxyz")]:
+        data = np.frombuffer(w.encode(), np.uint8)
+        bucket = int(words.ids(Words(data, np.array([0, len(data)])))[0])
+        every[bucket] = every.get(bucket, 0) + np.exp(share(w))
+    assert all(x < 1 for x in every.values())
+
+
+def test_spellings_add_up_to_one():
+    spelt = np.random.default_rng(6).integers(0, 3, pseudo.SYMBOLS**3)
+    table = pseudo.Rest([], [], np.ones(pseudo.OTHERS), spelt).spelling.reshape(-1, pseudo.SYMBOLS)
+    assert np.exp(table.astype(np.float64)).sum(1) == pytest.approx(1, abs=1e-4)
+
+
 def test_vocabulary_counts_all_words(make):
     got = pseudo.vocabulary(make([(1, "a a b"), (2, "b c a"), (3, None), (4, "")]))
     assert got.words.to_pylist() == [b"a", b"b", b"c"] and got.counts[pseudo.OTHERS : pseudo.OTHERS + 3].tolist() == [3, 2, 1]
