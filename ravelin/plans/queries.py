@@ -20,7 +20,7 @@ from ravelin.sources.rules import active_rules, builtin_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ("doc_id", "relative_path")
-#: Limits that some of the planted packages are beyond.
+#: Limits that some of the planted packages are beyond; for file_safety alone.
 CONFIG = ScanConfig(max_file_size=20_000, max_total_size=60_000, max_file_count=45)
 CATEGORIES = ("agent-manipulation", "credential-exposure", "data-exfiltration", "malicious-code", "obfuscation", "prompt-injection", "supply-chain", "tool-abuse")
 #: Patterns that look ahead match the same lines in SQL, but not the same text.
@@ -200,26 +200,26 @@ def sarif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding of the planted packages, with normalization, decoding, windows, contexts, syntax and comments that suppress."""
-    return scan(planted_files(spark, sf_dir), CONFIG).findings.select("package_id", "file", "rule_id", "severity", "line", "matched_text")
+    return scan(planted_files(spark, sf_dir)).findings.select("package_id", "file", "rule_id", "severity", "line", "matched_text")
 
 
 def scan_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict, coverage and risk of every planted package."""
-    return scan(planted_files(spark, sf_dir), CONFIG).results.select(
+    return scan(planted_files(spark, sf_dir)).results.select(
         "package_id", "verdict", "files_scanned", "files_skipped", "bytes_scanned", "suppressed_count", "skill_name", "score", "band", F.array_join("top_drivers", ",").alias("top_drivers"), "suspicious_url_count", "correlated_signal_count"
     )
 
 
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.json_reports(scan(planted_files(spark, sf_dir), CONFIG))
+    return report.json_reports(scan(planted_files(spark, sf_dir)))
 
 
 def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.sarif_reports(scan(planted_files(spark, sf_dir), CONFIG))
+    return report.sarif_reports(scan(planted_files(spark, sf_dir)))
 
 
 def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.text_reports(scan(planted_files(spark, sf_dir), CONFIG))
+    return report.text_reports(scan(planted_files(spark, sf_dir)))
 
 
 def python_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
