@@ -65,8 +65,7 @@ def payload_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = payload_extract(spark, sf_dir).filter("kind <> 'base64' OR encoded LIKE '%=='")
-    return found.select("doc_id", "line_no", "kind", T.decoded("kind", "encoded").alias("decoded")).filter("decoded IS NOT NULL")
+    return payload_extract(spark, sf_dir).select("doc_id", "line_no", "kind", T.decoded("kind", "encoded").alias("decoded")).filter("decoded IS NOT NULL")
 
 
 def fewshot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
