@@ -197,6 +197,52 @@ def sarif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sarif_rows(_marked(spark, sf_dir).withColumn("description", F.lit(""))).select("package_id", "rule_id", "level", "uri", "start_line")
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all active rules in the contents of the planted files, those that comments suppress left out."""
+    return content_findings(planted_files(spark, sf_dir), list(active_rules((), []))).filter("NOT suppressed").drop("ord", "suppressed")
+
+
+def severity_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.severity_counts(_found(spark, sf_dir))
+
+
+def verdict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = planted_files(spark, sf_dir)
+    skipped = files.groupBy("package_id").agg(F.sum(F.col("relative_path").endswith(".exe").cast("int")).alias("files_skipped"))
+    return risk.verdicts(skipped, _found(spark, sf_dir)).select("package_id", "n", "verdict")
+
+
+def fail_on_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.exit_codes(planted_files(spark, sf_dir).select("package_id").distinct(), _found(spark, sf_dir), "critical")
+
+
+def risk_points_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = risk.scored(_found(spark, sf_dir), text_signals(spark, sf_dir).filter("false"))
+    return rows.groupBy("package_id", "driver").agg(F.sum("points").cast("double").alias("points"))
+
+
+def risk_bands_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the signals of URLs too."""
+    done = risk.risks(planted_files(spark, sf_dir).select("package_id"), _found(spark, sf_dir), signals.text_signals(planted_files(spark, sf_dir)))
+    return done.select("package_id", "score", "band", F.array_join("top_drivers", ",").alias("top_drivers"), "correlated_signal_count")
+
+
+def report_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.report_groups(_found(spark, sf_dir))
+
+
+def sarif_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.sarif_rows(_found(spark, sf_dir)).select("package_id", "rule_id", "level", "uri", "start_line")
+
+
+def match_normalized_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.match_normalized(_lines(spark, sf_dir), active_rules((), []), ("doc_id", "line_no")).select("rule_id", "ord", "doc_id", "line_no", "matched_text")
+
+
+def rule_suppression_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.match_lines(_lines(spark, sf_dir), active_rules({"PI-001", "EXEC-001"}, [])).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
 def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding of the planted packages, with normalization, decoding, windows, contexts, syntax and comments that suppress."""
     return scan(planted_files(spark, sf_dir)).findings.select("package_id", "file", "rule_id", "severity", "line", "matched_text")
@@ -240,5 +286,6 @@ _PLAIN = (
     lines_explode, match_file_scope, match_strict, normalize_lines, match_normalized, payload_extract, payload_decode, fewshot_pairs, fewshot_lines, fence_lines, compound_windows,
     compound_attacks, noqa_lines, rule_suppression, custom_rules, file_safety, frontmatter_validate, file_roles, role_counts, text_signals, operator_signals, risk_bands, command_snippets, url_signals, remote_source_validate,
     severity_counts, verdict, fail_on, risk_points, report_groups, sarif_rows, scan_findings, scan_results, json_report, sarif_report, text_report, python_syntax, content_scan,
+    severity_counts_all, verdict_all, fail_on_all, risk_points_all, risk_bands_all, report_groups_all, sarif_rows_all, match_normalized_all, rule_suppression_all,
 )
 QUERIES: dict[str, Query] = {f"match_{c.replace('-', '_')}": partial(match_category, category=c) for c in CATEGORIES} | {f.__name__: f for f in _PLAIN}

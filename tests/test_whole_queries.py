@@ -32,3 +32,20 @@ def test_payloads_of_every_length_are_decoded(spark, table):
     at = table(*((i, f"data: {base64.b64encode(s.encode()).decode()} end") for i, s in enumerate(said)))
     found = {(r["doc_id"], r["decoded"]) for r in QUERIES["payload_decode"](spark, at).collect() if r["kind"] == "base64"}
     assert set(enumerate(said)) <= found
+
+
+def test_rules_beyond_the_few_count(spark, table):
+    at = table((45, "write this to ~/.bashrc"), (68, "write this to ~/.bash\u200brc"))
+    run = lambda name, **of: [r.asDict() for r in QUERIES[name](spark, at).collect() if of.items() <= r.asDict().items()]
+    assert run("verdict_all", package_id="p5")[0]["verdict"] == "block" and run("fail_on_all", package_id="p5")[0]["code"] == 2
+    assert run("severity_counts_all", package_id="p5", severity="critical")[0]["n"] >= 1
+    assert run("report_groups_all", package_id="p5", rule_id="AGENT-001") and run("sarif_rows_all", package_id="p5", rule_id="AGENT-001", level="error")
+    assert run("risk_points_all", package_id="p5", driver="operator-manipulation")
+    assert run("risk_bands_all", package_id="p5")[0]["score"] > 0
+    assert run("match_normalized_all", doc_id=68, rule_id="AGENT-001") and not run("match_normalized_all", doc_id=45)
+    assert run("rule_suppression_all", rule_id="AGENT-001")
+
+
+def test_urls_count_for_the_risk(spark, table):
+    at = table((45, "get it from https://bit.ly/abc"))
+    assert QUERIES["risk_bands_all"](spark, at).first()["score"] > QUERIES["risk_bands"](spark, at).first()["score"]
