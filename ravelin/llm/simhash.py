@@ -9,8 +9,8 @@ would prune next to nothing. They are therefore put into shards by BANDS fixed s
 of BAND_BITS bits, and every shard has a BK-tree of its own (children keyed by their
 integer Hamming distance to the parent). Every fingerprint queries its tree in each
 shard and follows only edges within the radius. A pair at distance d shares a shard
-with probability 1 - (1 - (1 - d/128)^BAND_BITS)^BANDS: over 0.99 up to d = 13, 0.95
-at the radius. Up to BROADCAST_FINGERPRINTS distinct fingerprints, the trees of all
+with probability 1 - (1 - C(128 - d, BAND_BITS) / C(128, BAND_BITS))^BANDS: over 0.99 up
+to d = 12, 0.986 at 13, 0.972 at 14, 0.949 at 15, 0.917 at the radius. Up to BROADCAST_FINGERPRINTS distinct fingerprints, the trees of all
 shards are built once and broadcast; beyond, shards are shuffled and every task builds
 the trees of its own. Both find the same pairs.
 """

@@ -81,6 +81,15 @@ def test_recall_over_all_distances():
     assert (a == b).any(1).mean() >= 0.9
 
 
+def test_recall_at_the_last_distances_is_as_stated():
+    rng = np.random.default_rng(8)
+    for distance, stated in ((13, 0.986), (14, 0.972), (15, 0.949), (16, 0.917)):
+        base = rng.integers(0, 2, (20_000, 128)).astype(np.uint8)
+        flips = np.argsort(rng.random(base.shape), axis=1) < distance
+        a, b = (simhash.shard_keys(np.packbits(x, axis=1)) for x in (base, base ^ flips))
+        assert abs((a == b).any(1).mean() - stated) < 0.01
+
+
 def test_near_duplicates_on_odd_rows(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     by = {(r.doc_id, r.group_size): (r.group_id, r.duplicate) for r in rows}
