@@ -5,13 +5,15 @@ conditional probabilities scores a document. Tokens are words: the VOCABULARY mo
 frequent of all documents, other words by hash in OTHERS buckets; a word's share of its
 bucket is by its count or spelling (Rest). The network adds
 one vector for each neighbour by its place, takes tanh, and has a two-level softmax
-(a token's block of BLOCK ids, then the token in its block).
+(a token's block of BLOCK ids, then the token in its block). Words are told apart by
+hashes of 64 bits.
 
 The counts of all words of all documents give the vocabulary, the first biases and the
 shares in buckets.
 The network is trained in numpy where the documents are: every task takes one pass
 over all tokens of its documents, from the same start, and the results are
-averaged by the number of tokens, so what is gathered grows with the input.
+averaged by the number of tokens, so what is gathered grows with the input. A task's
+steps begin small and grow, so that short and long passes both learn (``ranges``).
 """
 
 from __future__ import annotations
@@ -25,12 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.shared import saved
-from ravelin.llm.text import Words, raw, steps
+from ravelin.llm.text import HashTable, Words, raw, steps
 
 BLOCK, OTHERS, VOCABULARY = 64, 32, 2016
 IDS = OTHERS + VOCABULARY
 NEIGHBOURS, HIDDEN = (-2, -1, 1, 2), 32
-BATCH, RATE = 512, 0.1
+#: Words of a step: FIRST_BATCH, twice as many after every GROW steps, BATCH in the end.
+FIRST_BATCH, BATCH, GROW = 256, 8192, 32
+#: Words that are put in random order together.
+MIXED = 1 << 18
+#: Adagrad's rate, and what the sums of squares begin with.
+RATE, SQUARE = 0.2, 1e-8
+#: Logits are held within these, so that no exponential overflows.
+LOGIT = 60.0
 #: Words beyond the vocabulary that keep counts of their own; all others go by spelling.
 LISTED = 1 << 16
 #: The bytes of words, and 0 for the edges of a word.
@@ -38,7 +47,7 @@ _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[*range(48, 58), 95, *range(97, 123), *range(128, 256)]] = range(1, 166)
 SYMBOLS = 166
 #: Words of which one step scores as many.
-STEP_WORDS = 1 << 15
+STEP_WORDS = 1 << 12
 #: Pieces in which weights travel, so that averaging is spread over tasks.
 PIECES = 64
 
@@ -53,15 +62,12 @@ class Rest:
     """
 
     def __init__(self, words: list[bytes], counts: list[int], shares: np.ndarray, spelt: np.ndarray):
-        self.words = pa.array(words, pa.large_binary())
+        each, bucket = buckets(pa.array(words, pa.large_binary()))
         left = np.array(shares, np.float64)
         own = np.array(counts, np.float64)
-        if len(words):
-            bucket = buckets(self.words)[1]
-            left -= np.bincount(bucket, own, OTHERS)
-            self.listed = (np.log(own) - np.log(shares[bucket] + 1)).astype(np.float32)
-        else:
-            self.listed = np.zeros(0, np.float32)
+        left -= np.bincount(bucket, own, OTHERS)
+        self.words = HashTable(each.hashes)
+        self.listed = (np.log(own) - np.log(np.asarray(shares)[bucket] + 1)).astype(np.float32)
         # one more word than there are, for those that are unseen
         self.left = np.log(np.maximum(left, 0) + 1) - np.log(np.asarray(shares) + 1) + np.log(OTHERS)
         three = np.asarray(spelt, np.float64).reshape(SYMBOLS, SYMBOLS, SYMBOLS)
@@ -73,26 +79,27 @@ class Rest:
         """Of each word given its bucket; 0 for the words of the vocabulary."""
         out = np.zeros(len(ids))
         rare = np.flatnonzero(ids < OTHERS)
-        if not len(rare):
-            return out
-        inner, last = spellings(words)
-        spelt = np.add.reduceat(self.spelling[inner].astype(np.float64), words.at) + self.spelling[last]
-        out[rare] = self.left[ids[rare]] + spelt[rare]
-        if len(self.words):
-            at = np.asarray(pc.index_in(words.array().take(pa.array(rare)), value_set=self.words).fill_null(-1))
-            out[rare[at >= 0]] = self.listed[at[at >= 0]]
+        at = self.words.find(words.hashes[rare])
+        out[rare[at >= 0]] = self.listed[at[at >= 0]]
+        if len(rest := rare[at < 0]):
+            lengths = words.lengths[rest]
+            begin = np.cumsum(lengths) - lengths
+            data = words.bytes[np.arange(lengths.sum()) + np.repeat(words.at[rest] - begin, lengths)]
+            inner, last = spellings(data, begin, lengths)
+            out[rest] = self.left[ids[rest]] + np.add.reduceat(self.spelling[inner].astype(np.float64), begin) + self.spelling[last]
         return out
 
 
 class Vocabulary:
     def __init__(self, words: list[bytes], counts: list[int], total: int, rest: Rest | None = None):
-        self.words = pa.array(words, pa.large_binary())
+        self.words = words
+        self.table = HashTable(buckets(pa.array(words, pa.large_binary()))[0].hashes)
         others = max(0, total - sum(counts)) / OTHERS
         self.counts = np.array([others] * OTHERS + list(counts) + [0] * (VOCABULARY - len(counts)), np.float64)
         self.rest = rest or Rest([], [], self.counts[:OTHERS], np.zeros(SYMBOLS**3))
 
     def ids(self, words: Words) -> np.ndarray:
-        known = np.asarray(pc.index_in(words.array(), value_set=self.words).fill_null(-1)).astype(np.int64)
+        known = self.table.find(words.hashes)
         return np.where(known < 0, (words.hashes % np.uint64(OTHERS)).astype(np.int64), known + OTHERS)
 
 
@@ -140,7 +147,7 @@ def the_rest(counted: DataFrame, known: list[bytes]) -> Rest:
                 continue
             each, bucket = buckets(mine.column(0))
             shares += np.bincount(bucket, np.asarray(mine.column(1)), OTHERS).astype(np.int64)
-            inner, last = spellings(each)
+            inner, last = spellings(each.bytes, each.at, each.lengths)
             spelt += np.bincount(np.concatenate([inner, last]), minlength=SYMBOLS**3)
         keys = np.flatnonzero(spelt)
         yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([keys, -1 - np.arange(OTHERS)])), "n": pa.array(np.concatenate([spelt[keys], shares]))})
@@ -158,6 +165,8 @@ def the_rest(counted: DataFrame, known: list[bytes]) -> Rest:
 
 def buckets(words: pa.Array) -> tuple[Words, np.ndarray]:
     """Words given one by one, and their buckets."""
+    if not len(words):
+        return Words(np.zeros(0, np.uint8), np.zeros(1, np.int64)), np.zeros(0, np.int64)
     column = words.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
@@ -165,34 +174,35 @@ def buckets(words: pa.Array) -> tuple[Words, np.ndarray]:
     return each, (each.hashes % np.uint64(OTHERS)).astype(np.int64)
 
 
-def spellings(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte, and for the end of every word, the number of (byte two before, byte before, byte)."""
-    now = _SYMBOL[words.bytes]
+def spellings(data: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte, and for the end of every word, the number of (byte two before, byte before, byte); words begin at ``at``."""
+    now = _SYMBOL[data]
     before = np.zeros_like(now)
     before[1:] = now[:-1]
-    before[words.at] = 0
+    before[at] = 0
     first = np.zeros_like(now)
     first[1:] = before[:-1]
-    first[words.at] = 0
-    last = words.at + words.lengths - 1
+    first[at] = 0
+    last = at + lengths - 1
     return (first * SYMBOLS + before) * SYMBOLS + now, (before[last] * SYMBOLS + now[last]) * SYMBOLS
 
 
 class Network:
-    """Weights: neighbours (4, IDS + 1, H), bias (H), blocks (H, B), block bias (B), tokens (B, H, BLOCK), token bias (B, BLOCK)."""
+    """Weights: neighbours (4 * (IDS + 1), H), bias (H), blocks (H + 1, B), tokens (B, H + 1, BLOCK); the last row of the last two is for a constant 1."""
 
     def __init__(self, counts: np.ndarray, seed: int = 5):
         rng = np.random.default_rng(seed)
         blocks = counts.reshape(-1, BLOCK) + 0.5
         near = rng.normal(0, 0.1, (len(NEIGHBOURS), IDS + 1, HIDDEN))
         near[:, IDS] = 0
+        to_blocks = rng.normal(0, 0.05, (HIDDEN, len(blocks)))
+        to_tokens = rng.normal(0, 0.05, (len(blocks), HIDDEN, BLOCK))
+        shares = np.log(blocks / blocks.sum(1, keepdims=True))
         self.weights = [
-            near.astype(np.float32),
+            near.reshape(-1, HIDDEN).astype(np.float32),
             np.zeros(HIDDEN, np.float32),
-            rng.normal(0, 0.05, (HIDDEN, len(blocks))).astype(np.float32),
-            np.log(blocks.sum(1) / blocks.sum()).astype(np.float32),
-            rng.normal(0, 0.05, (len(blocks), HIDDEN, BLOCK)).astype(np.float32),
-            np.log(blocks / blocks.sum(1, keepdims=True)).astype(np.float32),
+            np.concatenate([to_blocks, np.log(blocks.sum(1) / blocks.sum())[None]]).astype(np.float32),
+            np.concatenate([to_tokens, shares[:, None]], 1).astype(np.float32),
         ]
 
     def flat(self) -> np.ndarray:
@@ -205,86 +215,144 @@ class Network:
             at += w.size
         return self
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
+    def hidden(self, places: np.ndarray) -> np.ndarray:
+        """(n, H + 1) of rows of neighbours; the last column is 1."""
         near, bias = self.weights[:2]
-        h = np.take(near[0], context[:, 0], axis=0)
+        total = np.take(near, places[:, 0], axis=0)
         for j in range(1, len(NEIGHBOURS)):
-            h += np.take(near[j], context[:, j], axis=0)
-        h += bias
-        return np.tanh(h, out=h)
+            total += np.take(near, places[:, j], axis=0)
+        total += bias
+        out = np.ones((len(places), HIDDEN + 1), near.dtype)
+        np.tanh(total, out=out[:, :HIDDEN])
+        return out
+
+    def _by_block(self, context: np.ndarray, token: np.ndarray):
+        """In the order of blocks: that order, rows of neighbours, block and place in it of each token, and (block, begin, end) of those that occur."""
+        order = np.argsort((token // BLOCK).astype(np.uint8), kind="stable")
+        token = token[order]
+        block = token // BLOCK
+        edges = np.searchsorted(block, np.arange(IDS // BLOCK + 1)).tolist()
+        used = [(b, edges[b], edges[b + 1]) for b in range(IDS // BLOCK) if edges[b] < edges[b + 1]]
+        return order, context[order] + _TABLES, block, token % BLOCK, used
 
     def log_probabilities(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of each token given its neighbours (n, 4)."""
-        _, _, blocks, block_bias, tokens, token_bias = self.weights
-        h = self.hidden(context)
-        logits = h @ blocks
-        logits += block_bias
-        block, within = token // BLOCK, token % BLOCK
-        out = logits[np.arange(len(token)), block] - log_sum(logits)
-        order = np.argsort(block, kind="stable")
-        edges = np.searchsorted(block[order], np.arange(len(block_bias) + 1))
-        for b in range(len(block_bias)):
-            mine = order[edges[b] : edges[b + 1]]
-            if len(mine):
-                logits = h[mine] @ tokens[b]
-                logits += token_bias[b]
-                out[mine] += logits[np.arange(len(mine)), within[mine]] - log_sum(logits)
+        blocks, tokens = self.weights[2:]
+        order, places, block, within, used = self._by_block(context, token)
+        h, rows = self.hidden(places), np.arange(len(token))
+        logits = held(h @ blocks)
+        found = logits[rows, block] - log_sum(logits)
+        logits = np.empty((len(token), BLOCK), h.dtype)
+        for b, lo, hi in used:
+            np.matmul(h[lo:hi], tokens[b], out=logits[lo:hi])
+        held(logits)
+        found += logits[rows, within]
+        found -= log_sum(logits)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
-    def step(self, context: np.ndarray, token: np.ndarray, squares: list[np.ndarray]) -> None:
-        """One step of Adagrad on a batch; ``squares`` has the sums of squared gradients."""
-        near, bias, blocks, block_bias, tokens, token_bias = self.weights
+    def gradients(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(rows of neighbours that occur, gradients) of the mean loss; those of neighbours are of these rows alone."""
+        blocks, tokens = self.weights[2:]
         n = len(token)
-        h = self.hidden(context)
-        block, within = token // BLOCK, token % BLOCK
-        out = h @ blocks + block_bias
-        out = np.exp(out - log_sum(out)[:, None])
-        out[np.arange(n), block] -= 1
-        back = out @ blocks.T
-        grads = [h.T @ out, out.sum(0), np.zeros_like(tokens), np.zeros_like(token_bias)]
-        order = np.argsort(block, kind="stable")
-        edges = np.searchsorted(block[order], np.arange(len(block_bias) + 1)).tolist()
-        used = [(b, edges[b], edges[b + 1]) for b in range(len(block_bias)) if edges[b] < edges[b + 1]]
-        # the tokens of a block lie together, so that only products go block by block
-        mine, inner = h[order], token_bias[block[order]]
+        _, places, block, within, used = self._by_block(context, token)
+        h, rows = self.hidden(places), np.arange(n)
+        outer = softmax(held(h @ blocks))
+        outer[rows, block] -= 1
+        inner = np.empty((n, BLOCK), h.dtype)
         for b, lo, hi in used:
-            inner[lo:hi] += mine[lo:hi] @ tokens[b]
-        inner = np.exp(inner - log_sum(inner)[:, None])
-        inner[np.arange(n), within[order]] -= 1
-        inner /= n
-        from_inner = np.empty_like(h)
+            np.matmul(h[lo:hi], tokens[b], out=inner[lo:hi])
+        softmax(held(inner))
+        inner[rows, within] -= 1
+        back = outer @ blocks[:HIDDEN].T
+        to_tokens = np.zeros_like(tokens)
         for b, lo, hi in used:
-            np.matmul(inner[lo:hi], tokens[b].T, out=from_inner[lo:hi])
-            np.matmul(mine[lo:hi].T, inner[lo:hi], out=grads[2][b])
-            inner[lo:hi].sum(0, out=grads[3][b])
+            back[lo:hi] += inner[lo:hi] @ tokens[b, :HIDDEN].T
+            np.matmul(h[lo:hi].T, inner[lo:hi], out=to_tokens[b])
+        to_tokens /= n
+        back *= 1 - h[:, :HIDDEN] ** 2
         back /= n
-        back[order] += from_inner
-        back *= 1 - h * h
-        # vectors of all places in one table; those of one word are summed as a run
-        places = (context + np.arange(len(NEIGHBOURS)) * (IDS + 1)).ravel()
-        order = np.argsort(places, kind="stable")
-        begins = np.flatnonzero(np.diff(places[order], prepend=-1))
-        ids = places[order][begins]
-        flat, flat_squares = near.reshape(-1, HIDDEN), squares[0].reshape(-1, HIDDEN)
-        part, square = flat[ids], flat_squares[ids]
-        adagrad(part, np.add.reduceat(back[order // len(NEIGHBOURS)], begins), square)
-        flat[ids], flat_squares[ids] = part, square
-        adagrad(bias, back.sum(0), squares[1])
-        adagrad(blocks, grads[0] / n, squares[2])
-        adagrad(block_bias, grads[1] / n, squares[3])
-        adagrad(tokens, grads[2], squares[4])
-        adagrad(token_bias, grads[3], squares[5])
-        near[:, IDS] = 0
+        ids, near = sums_by(places.ravel(), back, len(NEIGHBOURS))
+        return ids, [near, back.sum(0), h.T @ outer / n, to_tokens]
+
+    def step(self, context: np.ndarray, token: np.ndarray, squares: list[np.ndarray]) -> None:
+        """One step of Adagrad on a batch; ``squares`` has the sums of squared gradients."""
+        ids, grads = self.gradients(context, token)
+        near = self.weights[0]
+        part, square = near[ids], squares[0][ids]
+        adagrad(part, grads[0], square)
+        near[ids], squares[0][ids] = part, square
+        near[IDS :: IDS + 1] = 0
+        for w, g, s in zip(self.weights[1:], grads[1:], squares[1:], strict=True):
+            adagrad(w, g, s)
+
+    def squares(self) -> list[np.ndarray]:
+        return [np.full(w.shape, SQUARE, np.float32) for w in self.weights]
+
+
+#: Where the table of each place begins among the rows of neighbours.
+_TABLES = np.arange(len(NEIGHBOURS)) * (IDS + 1)
 
 
 def adagrad(weight: np.ndarray, grad: np.ndarray, square: np.ndarray) -> None:
-    square += grad * grad
-    weight -= RATE * grad / (np.sqrt(square) + 1e-6)
+    by = grad * grad
+    square += by
+    np.sqrt(square, out=by)
+    np.divide(grad, by, out=by)
+    by *= RATE
+    weight -= by
+
+
+def held(logits: np.ndarray) -> np.ndarray:
+    return np.clip(logits, -LOGIT, LOGIT, out=logits)
+
+
+def softmax(logits: np.ndarray) -> np.ndarray:
+    """In place, of held logits."""
+    np.exp(logits, out=logits)
+    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
+    return logits
 
 
 def log_sum(logits: np.ndarray) -> np.ndarray:
-    most = logits.max(1)
-    return np.log(np.exp(logits - most[:, None]).sum(1)) + most
+    """Of held logits, which are lost."""
+    np.exp(logits, out=logits)
+    return np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+
+
+def sums_by(keys: np.ndarray, rows: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys under 65,536, sums of rows[i // each] over the i of each key): rows of one key lie together and are added in pairs, again and again."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    keys = keys[order]
+    begin = np.flatnonzero(np.diff(keys, prepend=-1))
+    ids, many = keys[begin], np.diff(begin, append=len(keys))
+    part, out, todo = np.take(rows, order // each, axis=0), np.empty((len(ids), rows.shape[1]), rows.dtype), np.arange(len(ids))
+    while True:
+        done = many == 1
+        out[todo[done]] = part[begin[done]]
+        todo, begin, many = todo[~done], begin[~done], many[~done]
+        if not len(todo):
+            return ids, out
+        half = (many + 1) // 2
+        at = np.cumsum(half) - half
+        first = np.repeat(begin - 2 * at, half) + 2 * np.arange(half.sum())
+        alone = (at + half - 1)[many % 2 == 1]
+        summed = np.take(part, first, axis=0)
+        first += 1
+        first[alone] -= 1
+        other = np.take(part, first, axis=0)
+        other[alone] = 0
+        summed += other
+        part, begin, many = summed, at, half
+
+
+def ranges(n: int, done: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the next steps within n words, after ``done`` steps; what is left is less than a step."""
+    at = 0
+    while at + (size := min(BATCH, FIRST_BATCH << min(done // GROW, 16))) <= n:
+        yield at, at + size
+        at, done = at + size, done + 1
 
 
 def contexts(ids: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -307,26 +375,33 @@ def train(docs: DataFrame, words: Vocabulary) -> Network:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         network = Network(own.counts)
-        squares = [np.full(w.shape, 1e-4, np.float32) for w in network.weights]
-        seen, waiting = 0, []
+        squares = network.squares()
+        seen, done, waiting = 0, 0, []
+
+        def go() -> None:
+            nonlocal done, waiting
+            context, token = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            # neighbours in the text go to different steps
+            order = np.random.default_rng(seen).permutation(len(token))
+            at = 0
+            for lo, at in ranges(len(token), done):
+                network.step(context[order[lo:at]], token[order[lo:at]], squares)
+                done += 1
+            waiting = [(context[order[at:]], token[order[at:]])]
+
         for batch in batches:
             data, offsets = raw(batch.column(0))
             for lo, hi in steps(offsets):
                 found = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 ids = own.ids(found)
-                at = np.arange(len(ids))
-                waiting.append((contexts(ids, found.rows, at), ids[at]))
-                seen += len(at)
-                context, token = (np.concatenate(x) for x in zip(*waiting, strict=True))
-                # neighbours in the text go to different steps
-                order = np.random.default_rng(seen).permutation(len(token))
-                full = len(token) - len(token) % BATCH
-                for i in range(0, full, BATCH):
-                    network.step(context[order[i : i + BATCH]], token[order[i : i + BATCH]], squares)
-                rest = order[full:]
-                waiting = [(context[rest], token[rest])]
-        if waiting and len(waiting[0][1]):
-            network.step(*waiting[0], squares)
+                waiting.append((contexts(ids, found.rows, np.arange(len(ids))), ids))
+                seen += len(ids)
+                if sum(len(token) for _, token in waiting) >= MIXED:
+                    go()
+        if seen:
+            go()
+            if len(waiting[0][1]):
+                network.step(*waiting[0], squares)
         if seen:
             pieces = np.array_split(network.flat(), PIECES)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "tokens": pa.array([seen] * PIECES, pa.int64()), "weights": pa.array([p.tobytes() for p in pieces], pa.binary())})

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes of text that one vectorised step handles; a longer document is one step by itself.
-STEP_BYTES = 1 << 21
+#: Bytes of text that one vectorised step handles, so that its arrays stay in the cache; a longer document is one step by itself.
+STEP_BYTES = 1 << 18
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -135,6 +135,35 @@ class Words:
         return pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.bytes))])
 
 
+class HashTable:
+    """Places of distinct 64-bit hashes in flat arrays, by open addressing; ``find`` gives -1 for others. At most half of the slots are in use."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.mask = (1 << max(1, 2 * len(hashes) - 1).bit_length()) - 1
+        self.keys = np.zeros(self.mask + 1, U64)
+        self.values = np.full(self.mask + 1, -1, np.int32)
+        todo = np.arange(len(hashes))
+        slot = (hashes & U64(self.mask)).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.values[slot[todo]] < 0)
+            # of several for one slot, the last written stays
+            self.values[slot[todo[free]]] = todo[free]
+            todo = todo[self.values[slot[todo]] != todo]
+            slot[todo] = (slot[todo] + 1) & self.mask
+        there = self.values >= 0
+        self.keys[there] = hashes[self.values[there]]
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        slot = (hashes & U64(self.mask)).astype(np.int64)
+        out = self.values[slot].astype(np.int64)
+        todo = np.flatnonzero((out >= 0) & (self.keys[slot] != hashes))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            out[todo] = self.values[slot[todo]]
+            todo = todo[(out[todo] >= 0) & (self.keys[slot[todo]] != hashes[todo])]
+        return out
+
+
 def words_of(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) for the whole column, step by step."""
     data, offsets = raw(column)

@@ -101,15 +101,113 @@ def test_training_lowers_the_loss_and_order_matters():
     at = np.arange(len(ids))
     context = pseudo.contexts(ids, found.rows, at)
     before = network.log_probabilities(context, ids).mean()
-    squares = [np.full(w.shape, 1e-4, np.float32) for w in network.weights]
+    squares = network.squares()
     for _ in range(4):
-        for i in range(0, len(at), pseudo.BATCH):
-            network.step(context[i : i + pseudo.BATCH], ids[i : i + pseudo.BATCH], squares)
+        for i in range(0, len(at), 512):
+            network.step(context[i : i + 512], ids[i : i + 512], squares)
     assert network.log_probabilities(context, ids).mean() > before + 1
     mixed = rng.permutation(ids)
     assert network.log_probabilities(pseudo.contexts(mixed, found.rows, at), mixed).mean() < network.log_probabilities(context, ids).mean() - 1
 
 
+def test_gradients_of_the_window_network_are_slopes():
+    rng = np.random.default_rng(8)
+    network = pseudo.Network(rng.integers(1, 50, pseudo.IDS).astype(float))
+    network.weights = [w.astype(np.float64) + rng.normal(0, 0.02, w.shape) for w in network.weights]
+    context, token = rng.integers(0, pseudo.IDS + 1, (70, 4)), rng.integers(0, pseudo.IDS, 70)
+    context[:40, 0], token[:30] = 7, 9
+    ids, grads = network.gradients(context, token)
+    near = np.zeros_like(network.weights[0])
+    near[ids] = grads[0]
+    for w, g in zip(network.weights, [near, *grads[1:]], strict=True):
+        for at in [np.unravel_index(i, w.shape) for i in [*np.argsort(-np.abs(g), axis=None)[:4], *rng.integers(0, w.size, 2)]]:
+            keep, losses = w[at], []
+            for by in (1e-5, -1e-5):
+                w[at] = keep + by
+                losses.append(-network.log_probabilities(context, token).mean())
+            w[at] = keep
+            assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(g[at], rel=1e-3, abs=1e-7)
+
+
+def test_sums_by_key_are_sums():
+    rng = np.random.default_rng(9)
+    keys, rows = rng.integers(0, 12, 400) ** 2, rng.normal(size=(100, 3))
+    ids, sums = pseudo.sums_by(keys, rows, 4)
+    assert ids.tolist() == sorted(set(keys.tolist()))
+    for k, s in zip(ids, sums, strict=True):
+        assert s == pytest.approx(sum(rows[i // 4] for i in np.flatnonzero(keys == k)))
+
+
+def test_steps_cover_all_words_and_grow():
+    done, sizes = 0, []
+    for n in (100, 5000, 1 << 18):
+        at = 0
+        for lo, hi in pseudo.ranges(n, done):
+            assert lo == at
+            at, done = hi, done + 1
+            sizes.append(hi - lo)
+        assert n - at < pseudo.BATCH
+    assert sizes == sorted(sizes) and sizes[0] == pseudo.FIRST_BATCH and sizes[-1] == pseudo.BATCH
+
+
+def test_hash_tables_find_what_they_hold():
+    from ravelin.llm.text import HashTable
+
+    rng = np.random.default_rng(10)
+    hashes = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) & ~np.uint64(0xF0))
+    table = HashTable(hashes[::2])
+    assert table.find(hashes[::2]).tolist() == list(range(len(hashes[::2]))) and (table.find(hashes[1::2]) == -1).all()
+    assert HashTable(hashes[:0]).find(hashes[:3]).tolist() == [-1] * 3
+
+
+def plainly(texts):
+    """Scores of texts by one process: counts, ids, contexts and sums a word at a time; the steps of training are the module's."""
+    import re
+
+    said = [re.findall(r"[a-z0-9_]+", (t or "").lower()) for t in texts]
+    counts = {}
+    for w in (w for s in said for w in s):
+        counts[w] = counts.get(w, 0) + 1
+    known = sorted(counts, key=lambda w: (-counts[w], w))[: pseudo.VOCABULARY]
+    assert len(known) == len(counts), "small texts only: no word is outside the vocabulary"
+    ids = {w: pseudo.OTHERS + i for i, w in enumerate(known)}
+    pairs = []
+    for s in said:
+        for i, w in enumerate(s):
+            pairs.append(([ids[s[i + d]] if 0 <= i + d < len(s) else pseudo.IDS for d in (-2, -1, 1, 2)], ids[w]))
+    network = pseudo.Network(np.array([0] * pseudo.OTHERS + [counts[w] for w in known] + [0] * (pseudo.VOCABULARY - len(known)), float))
+    context, token = np.array([c for c, _ in pairs]), np.array([t for _, t in pairs])
+    order, squares, at = np.random.default_rng(len(token)).permutation(len(token)), network.squares(), 0
+    for lo, at in pseudo.ranges(len(token), 0):
+        network.step(context[order[lo:at]], token[order[lo:at]], squares)
+    if at < len(token):
+        network.step(context[order[at:]], token[order[at:]], squares)
+    near, bias, blocks, tokens = (w.astype(np.float64) for w in network.weights)
+    out, k = [], 0
+    for s in said:
+        total = 0.0
+        for _ in s:
+            c, t = pairs[k]
+            k += 1
+            h = np.append(np.tanh(bias + sum(near[j * (pseudo.IDS + 1) + x] for j, x in enumerate(c))), 1)
+            for logits, mine in ((h @ blocks, t // pseudo.BLOCK), (h @ tokens[t // pseudo.BLOCK], t % pseudo.BLOCK)):
+                total += logits[mine] - np.log(np.exp(logits).sum())
+        out.append((len(s), total))
+    return out
+
+
+def test_the_query_against_one_plain_process(make):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.5, n) % 300) for n in rng.integers(1, 400, 60)] + ["", None, "one two", "one two"]
+    docs = make([(i, t) for i, t in enumerate(texts)]).coalesce(1)
+    got = {r.doc_id: r for r in pseudo.score(docs).collect()}
+    for i, (n, total) in enumerate(plainly(texts)):
+        if texts[i] is None:
+            assert got[i].n_words is None and got[i].log_likelihood is None
+        else:
+            assert got[i].n_words == n and got[i].log_likelihood == pytest.approx(total, abs=0.02 + 1e-4 * n)
+
+
 def test_training_predicts_every_word(make):
     docs = make([(i, "a b " * 2000) for i in range(4)])
     words = pseudo.vocabulary(docs)
@@ -151,7 +249,7 @@ def test_spellings_add_up_to_one():
 
 def test_vocabulary_counts_all_words(make):
     got = pseudo.vocabulary(make([(1, "a a b"), (2, "b c a"), (3, None), (4, "")]))
-    assert got.words.to_pylist() == [b"a", b"b", b"c"] and got.counts[pseudo.OTHERS : pseudo.OTHERS + 3].tolist() == [3, 2, 1]
+    assert got.words == [b"a", b"b", b"c"] and got.counts[pseudo.OTHERS : pseudo.OTHERS + 3].tolist() == [3, 2, 1]
 
 
 def test_scoring_on_odd_rows(odd, none):
