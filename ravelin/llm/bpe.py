@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.text import lean, lists, raw, steps
+from ravelin.llm.text import HashTable, hashes_of, lean, lists, raw, steps
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words that a worker remembers between batches; beyond it, it starts anew. Words over the length aren't kept.
@@ -411,16 +411,23 @@ def frequent_pretokens(docs: DataFrame, size: int = FREQUENT, summary: int = SUM
 
 
 class LengthTable:
-    """Pre-tokens and how many tokens each has, as two flat arrays; the broadcast form."""
+    """How many tokens each frequent pre-token has, by its 64-bit hash in flat arrays; the broadcast form, of some 12 bytes a slot."""
 
     def __init__(self, words: list[bytes], lengths: list[int]):
-        self.words = pa.array(words, pa.large_binary())
-        self.lengths = np.array([*lengths, 0], np.int32)
+        self.table = HashTable(self._hashes(pa.array(words, pa.large_binary())))
+        self.lengths = np.array([*lengths, -1], np.int32)
+
+    @staticmethod
+    def _hashes(words: pa.Array) -> np.ndarray:
+        if not len(words):
+            return np.zeros(0, np.uint64)
+        offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+        data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        return hashes_of(data, offsets[:-1] - offsets[0], np.diff(offsets))
 
     def count(self, found: pa.Array) -> np.ndarray:
         """Tokens of each pre-token; -1 where the table hasn't it."""
-        index = np.asarray(pc.index_in(found, value_set=self.words).fill_null(-1)).astype(np.int64)
-        return np.where(index < 0, -1, self.lengths[index])
+        return self.lengths[self.table.find(self._hashes(found))].astype(np.int64)
 
 
 class Counter:

@@ -95,6 +95,18 @@ def fold(data: np.ndarray) -> np.ndarray:
     return low
 
 
+def hashes_of(data: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of byte strings that follow each other in ``data``, none of them empty."""
+    if not len(at):
+        return np.zeros(0, U64)
+    within = np.arange(len(data), dtype=np.int64) - np.repeat(at, lengths)
+    powers = np.full(int(lengths.max()), _BASE, U64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=U64)
+    values = (data.astype(U64) + U64(1)) * powers[within]
+    return mix(np.add.reduceat(values, at) + lengths.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 class Words:
     """Words of some rows: ``hashes``, byte ``starts`` and ``ends``, and ``rows``, the word offsets of each row."""
 
@@ -120,14 +132,7 @@ class Words:
         self.hashes = self._hash()
 
     def _hash(self) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, U64)
-        within = np.arange(len(self.bytes), dtype=np.int64) - np.repeat(self.at, self.lengths)
-        powers = np.full(int(self.lengths.max()), _BASE, U64)
-        powers[0] = 1
-        powers = np.cumprod(powers, dtype=U64)
-        values = (self.bytes.astype(U64) + U64(1)) * powers[within]
-        return mix(np.add.reduceat(values, self.at) + self.lengths.astype(U64) * U64(0xD6E8FEB86659FD93))
+        return hashes_of(self.bytes, self.at, self.lengths)
 
     def array(self) -> pa.Array:
         """The words as a binary Arrow array."""
