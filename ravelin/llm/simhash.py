@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ravelin.llm.shared import components, saved
 from ravelin.llm.text import Words, lean, mix, raw, steps
@@ -32,6 +31,10 @@ RADIUS, BANDS, BAND_BITS = 16, 32, 18
 BROADCAST_FINGERPRINTS = 20_000
 #: Pairs of a query and a node that one vectorised step compares at most.
 FRONTIER = 1 << 20
+#: Nodes that search at first, before what they find is known to the next ones, twice as many each time.
+FIRST_ASKED = 256
+#: What a text has a word by, as the words of ``text.Words`` are.
+HAS_WORD = r"[0-9A-Za-z_]|[^\x00-\x7F]"
 
 _HALVES = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 _SAMPLES = np.stack([np.random.default_rng(b).choice(128, BAND_BITS, replace=False) for b in range(BANDS)])
@@ -91,68 +94,102 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """BK-trees of many shards in flat arrays. Node i is row i; ``edges`` are parent * 129 + distance, sorted."""
+    """BK-trees of many shards in flat arrays. Node i is row i; ``edges`` are parent * 129 + distance, sorted; the first row of a shard is its root.
+
+    ``label`` is the least node of each node's component, as far as nodes are within the radius
+    of what they met on their way down: most of a ball of near copies is one before any search.
+    """
 
     def __init__(self, keys: np.ndarray, prints: np.ndarray):
         """keys: sorted shard of each row."""
         self.prints = np.ascontiguousarray(prints).view(np.uint64)
-        self.keys, root, sizes = np.unique(keys, return_index=True, return_counts=True)
-        self.roots, self.sizes = root, sizes
-        at = np.repeat(root, sizes)
+        self.keys, self.roots, sizes = np.unique(keys, return_index=True, return_counts=True)
+        self.tree = np.repeat(np.arange(len(self.keys)), sizes)
+        at = np.repeat(self.roots, sizes)
         todo = np.arange(len(keys))
+        self.label = np.arange(len(keys))
         at, todo = at[todo != at], todo[todo != at]
-        edges, children = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        edges, self.levels = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(todo):
             # all rows descend together; the first at a free edge becomes the child there
-            edge = at * 129 + hamming(self.prints[todo], self.prints[at])
+            d = hamming(self.prints[todo], self.prints[at])
+            merge(self.label, todo[d <= RADIUS], at[d <= RADIUS])
+            edge = at * 129 + d
             taken, first, which = np.unique(edge, return_index=True, return_inverse=True)
             child = todo[first]
             edges.append(taken)
-            children.append(child)
+            self.levels.append(child)
             at = child[which]
             down = todo != at
             at, todo = at[down], todo[down]
-        edges, children = np.concatenate(edges), np.concatenate(children)
+        self.parents = [e // 129 for e in edges]
+        edges, children = np.concatenate(edges), np.concatenate(self.levels)
         order = np.argsort(edges)
         self.edges, self.children = edges[order], children[order]
 
-    def search(self, keys: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(queries, nodes) within the radius, a query being a fingerprint and the shard it looks in."""
-        prints = np.ascontiguousarray(prints).view(np.uint64)
-        tree = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        there = np.flatnonzero(self.keys[tree] == keys) if len(self.keys) else np.zeros(0, np.int64)
-        upto = np.cumsum(self.sizes[tree[there]]) if len(there) else np.zeros(0, np.int64)
-        lo = 0
-        while lo < len(there):
-            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + FRONTIER, "right")))
-            query = there[lo:hi]
-            node = self.roots[tree[query]]
-            lo = hi
-            while len(query):
-                d = hamming(prints[query], self.prints[node])
+    def _uniform(self, label: np.ndarray) -> np.ndarray:
+        """Whether all nodes under a node, and it, have one label."""
+        low, high = label.copy(), label.copy()
+        for parent, child in zip(self.parents[::-1], self.levels[::-1], strict=True):
+            np.minimum.at(low, parent, low[child])
+            np.maximum.at(high, parent, high[child])
+        return low == high
+
+    def link(self, ask: np.ndarray | None = None) -> np.ndarray:
+        """Least node of the component of each node, as far as the nodes ``ask`` (all, if None) find what is within the radius.
+
+        A search follows only edges within the radius of its distance, and no edge to a part of
+        the tree that is all of its own component; nodes of the largest component of a tree
+        needn't search, as the others find them. So the pairs within a group of near copies
+        are neither compared nor given out one by one, and no link to another group is lost.
+        """
+        label = self.label.copy()
+        ask = np.arange(len(label)) if ask is None else ask
+        if not len(ask):
+            return label
+        sizes = np.bincount(label, minlength=len(label))
+        most = np.maximum.reduceat(sizes, self.roots)[self.tree]
+        largest = np.full(len(self.roots), len(label))
+        np.minimum.at(largest, self.tree[sizes == most], np.flatnonzero(sizes == most))
+        ask = ask[label[ask] != largest[self.tree[ask]]]
+        lo, many = 0, FIRST_ASKED
+        while lo < len(ask):
+            uniform = self._uniform(label)
+            query = ask[lo : lo + many]
+            stack = [(query, self.roots[self.tree[query]])]
+            lo, many = lo + many, many * 2
+            while stack:
+                query, node = stack.pop()
+                if len(query) > FRONTIER:
+                    stack.append((query[FRONTIER:], node[FRONTIER:]))
+                    query, node = query[:FRONTIER], node[:FRONTIER]
+                other = ~(uniform[node] & (label[node] == label[query]))
+                query, node = query[other], node[other]
+                if not len(query):
+                    continue
+                d = hamming(self.prints[query], self.prints[node])
                 near = d <= RADIUS
-                if near.any():
-                    yield query[near], node[near]
+                merge(label, query[near], node[near])
                 first = np.searchsorted(self.edges, node * 129 + np.maximum(d - RADIUS, 0), "left")
                 last = np.searchsorted(self.edges, node * 129 + np.minimum(d + RADIUS, 128), "right")
                 n = last - first
-                query = np.repeat(query, n)
-                node = self.children[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
+                if n.any():
+                    stack.append((np.repeat(query, n), self.children[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]))
+        return label
 
 
-def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Least row of each row's component among n rows: pairs needn't leave the task one by one."""
-    label = np.arange(n)
-    for a, b in pairs:
-        while True:
-            low = np.minimum(label[a], label[b])
-            if (label[a] == low).all() and (label[b] == low).all():
-                break
-            for side in (a, b):
-                np.minimum.at(label, label[side], low)
-            while (jump := label[label] != label).any():
-                label[jump] = label[label[jump]]
-    return label
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the components of a[i] and b[i], in place; every label is the least node of its component before and after."""
+    while len(a):
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return
+        low = np.minimum(label[a], label[b])
+        for side in (a, b):
+            np.minimum.at(label, label[side], low)
+        while (jump := label[label] != label).any():
+            label[jump] = label[label[jump]]
 
 
 def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -172,7 +209,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many[:-1] |= same
         keys, prints = keys[many], prints[many]
         if len(keys):
-            label = spanning(len(keys), Forest(keys, prints).search(keys, prints))
+            label = Forest(keys, prints).link()
             joined = np.flatnonzero(label != np.arange(len(label)))
             if len(joined):
                 yield _batch(prints[joined], prints[label[joined]])
@@ -201,20 +238,25 @@ def near_edges(prints: DataFrame, broadcast_limit: int = BROADCAST_FINGERPRINTS)
         all_prints = as_rows(pa.array([bytes(r["fp"]) for r in prints.collect()], pa.binary()))
         keys = shard_keys(all_prints)
         order = np.argsort(keys, axis=None, kind="stable")
-        trees = spark.sparkContext.broadcast(Forest(keys.ravel()[order], np.repeat(all_prints, BANDS, 0)[order]))
+        # where the node of print i in band b is
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        number = {p.tobytes(): i for i, p in enumerate(all_prints)}
+        trees = spark.sparkContext.broadcast((Forest(keys.ravel()[order], np.repeat(all_prints, BANDS, 0)[order]), place.reshape(-1, BANDS), number))
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            forest = trees.value
+            forest, places, number = trees.value
             nodes = forest.prints.view(np.uint8).reshape(-1, 16)
             for batch in batches:
-                own = as_rows(batch.column(0))
-                for query, node in forest.search(shard_keys(own).ravel(), np.repeat(own, BANDS, 0)):
-                    a, b = own[query // BANDS], nodes[node]
-                    apart = (a != b).any(1)
-                    if apart.any():
-                        yield _batch(a[apart], b[apart])
+                ask = places[[number[p] for p in batch.column(0).to_pylist()]].ravel()
+                label = forest.link(ask)
+                # what the search joined, and what its own nodes hang on by the trees
+                joined = np.unique(np.concatenate([np.flatnonzero(label != forest.label), ask]))
+                joined = joined[label[joined] != joined]
+                if len(joined):
+                    yield _batch(nodes[joined], nodes[label[joined]])
 
-        return prints.select("fp").mapInArrow(probe, "a binary, b binary").distinct()
+        return prints.select("fp").mapInArrow(probe, "a binary, b binary").filter("a <> b").distinct()
 
     @F.arrow_udf("array<bigint>")
     def shards(column: pa.Array) -> pa.Array:
@@ -229,44 +271,54 @@ def near_edges(prints: DataFrame, broadcast_limit: int = BROADCAST_FINGERPRINTS)
 
 
 def _groups(docs: DataFrame, broadcast_limit: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every document, and for each fp: first_id, its fingerprint first_fp and the size of its group."""
-    keyed = saved(docs.select("doc_id", fingerprint("text").alias("fp")))
-    prints = saved(keyed.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
+    """(doc_id, row, h, fp) of every document, and for each fp the row that stays of its group (id, h, row) and the size of the group."""
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("h"), fingerprint("text").alias("fp"))
+    keyed = saved(numbered)
+    # the least doc_id stays, null last; the text decides between rows of one doc_id
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h", "row"))
+    prints = saved(keyed.filter("fp IS NOT NULL").groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")))
     roots = components(near_edges(prints.select("fp"), broadcast_limit))
-    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "id", "n", F.coalesce("root", "fp").alias("root"))
-    # the least doc_id stays, null last; the fingerprint decides between rows of one doc_id
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp"))
-    sized = rooted.groupBy("root").agg(first.alias("first"), F.sum("n").alias("size"))
-    return keyed, rooted.select("fp", "root").join(sized, "root").select("fp", F.col("first.id").alias("first_id"), F.col("first.fp").alias("first_fp"), "size")
+    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    sized = rooted.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("size"))
+    return keyed, rooted.select("fp", "root").join(sized, "root").select("fp", "stays", "size")
 
 
 def near_duplicates(docs: DataFrame, broadcast_limit: int = BROADCAST_FINGERPRINTS) -> DataFrame:
     """The group of near copies that every document is in.
 
     Returns doc_id, group_id (the least doc_id of the group, null if it has none), group_size,
-    duplicate (whether another document of the group stays instead). A text that is null or has
-    no words is a group by itself with group_id its doc_id. Repeated rows are copies of each
-    other: with one doc_id, all but the row that stays count in group_size but have the same
-    answer as it. An empty table gives an empty one; other columns aren't carried along.
+    duplicate (whether another row of the group stays instead): one row of each group isn't,
+    that of the least doc_id. A text that is null or has no words is a group by itself with
+    group_id its doc_id. Repeated rows are copies of each other, also with one doc_id, and all
+    but one are duplicates. Of rows with one doc_id and other texts the hash of the text
+    decides. An empty table gives an empty one; other columns aren't carried along.
     """
     keyed, groups = _groups(docs, broadcast_limit)
     alone = F.col("g.fp").isNull()
     joined = keyed.alias("k").join(groups.alias("g"), "fp", "left")
-    stays = F.col("k.doc_id").eqNullSafe(F.col("first_id")) & (F.col("fp") == F.col("first_fp"))
     return joined.select(
         F.col("k.doc_id").alias("doc_id"),
-        F.when(alone, F.col("k.doc_id")).otherwise(F.col("first_id")).alias("group_id"),
+        F.when(alone, F.col("k.doc_id")).otherwise(F.col("stays.id")).alias("group_id"),
         F.coalesce("size", F.lit(1)).alias("group_size"),
-        F.when(alone, False).otherwise(~stays).alias("duplicate"),
+        F.when(alone, False).otherwise(F.col("k.row") != F.col("stays.row")).alias("duplicate"),
     )
 
 
 def one_of_each(docs: DataFrame, broadcast_limit: int = BROADCAST_FINGERPRINTS) -> DataFrame:
-    """The documents with one of each group: the one of the least doc_id, and one row where rows repeat."""
+    """The documents with one row of each group of near copies, with all their columns.
+
+    The row of the least doc_id stays (null last), then that of the least hash of its text. Rows
+    of one doc_id and one text are copies too, whatever their other columns: of them the one
+    whose columns (but maps) have the least hash stays, so that the choice never depends on the
+    order of rows. Rows whose text is null or has no words all stay. An empty table gives an empty one.
+    """
     _, groups = _groups(docs, broadcast_limit)
-    stay = groups.filter("fp = first_fp").select(F.col("fp").alias("__rv_fp"), F.col("first_id").alias("__rv_id"))
-    marked = docs.withColumn("__rv_print", fingerprint("text"))
-    some = marked.filter("__rv_print IS NOT NULL").join(stay, F.col("__rv_print") == F.col("__rv_fp")).filter(F.col("doc_id").eqNullSafe(F.col("__rv_id")))
-    rank = F.row_number().over(W.partitionBy("__rv_print").orderBy(F.xxhash64("text")))
-    kept = some.withColumn("__rv_rank", rank).filter("__rv_rank = 1")
-    return kept.select(*docs.columns).unionByName(marked.filter("__rv_print IS NULL").select(*docs.columns))
+    stay = groups.select(F.col("stays.id").alias("__rv_id"), F.col("stays.h").alias("__rv_h")).distinct()
+    marked = docs.withColumn("__rv_hash", F.xxhash64("text"))
+    worded = F.coalesce(F.col("text").rlike(HAS_WORD), F.lit(False))
+    # by the id too, so that copies of one text don't go to one task
+    some = marked.filter(worded).join(stay, (F.col("__rv_hash") == F.col("__rv_h")) & F.col("doc_id").eqNullSafe(F.col("__rv_id")), "left_semi")
+    others = [c for c, kind in docs.dtypes if "map<" not in kind]
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    kept = some.groupBy("__rv_hash", "doc_id").agg(F.min_by(row, F.xxhash64(*others)).alias("__rv_row"))
+    return kept.select("__rv_row.*").unionByName(docs.filter(~worded))

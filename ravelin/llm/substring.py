@@ -21,9 +21,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ravelin.llm.shared import saved
 from ravelin.llm.text import Words, grams, lean, lists, mix, raw, sliding_min, steps
@@ -106,46 +106,56 @@ def merged(found: pa.Array) -> pa.Array:
     cov and own are masks of runs; bit k is the run that begins k words before p. A part is
     ``first`` if no run that is elsewhere first covers it.
     """
-    rows, begins, finals, firsts, ends = found.to_pylist(), [], [], [], [0]
-    for items in rows:
-        runs: dict[int, bool] = {}
-        for x in items or []:
-            for k in range(REACH):
-                if x["cov"] >> k & 1:
-                    s = x["p"] - k
-                    runs[s] = runs.get(s, True) and bool(x["own"] >> k & 1)
-        for b, e, first in parts_of(sorted(runs.items())):
-            begins.append(b)
-            finals.append(e)
-            firsts.append(first)
-        ends.append(len(begins))
-    values = pa.StructArray.from_arrays([pa.array(begins, pa.int32()), pa.array(finals, pa.int32()), pa.array(firsts, pa.bool_())], ["begin", "end", "first"])
-    return lists(values, np.array(ends))
-
-
-def parts_of(runs: list[tuple[int, bool]]) -> list[tuple[int, int, bool]]:
-    """Parts (begin, end, first) of sorted runs (begin, first): what a later run covers isn't first; the rest of the union is."""
-    later: list[list[int]] = []
-    union: list[list[int]] = []
-    for s, first in runs:
-        for spans in (union,) if first else (union, later):
-            if spans and s <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], s + MIN_WORDS)
-            else:
-                spans.append([s, s + MIN_WORDS])
-    out, i = [], 0
-    for b, e in union:
-        at = b
-        while i < len(later) and later[i][0] < e:
-            if later[i][0] > at:
-                out.append((at, later[i][0], True))
-            out.append((later[i][0], later[i][1], False))
-            at = later[i][1]
-            i += 1
-        if at < e:
-            out.append((at, e, True))
-    return out
-
+    many = np.asarray(found.value_lengths().fill_null(0))
+    items, item_row = found.flatten(), np.repeat(np.arange(len(found)), many)
+    p, cov, own = (np.asarray(items.field(name)).astype(np.int64) for name in ("p", "cov", "own"))
+    rows, starts, mine = [], [], []
+    for k in range(REACH):
+        has = np.flatnonzero(cov >> k & 1)
+        rows.append(item_row[has])
+        starts.append(p[has] - k)
+        mine.append(own[has] >> k & 1)
+    row, start, first = np.concatenate(rows), np.concatenate(starts), np.concatenate(mine)
+    order = np.lexsort((start, row))
+    row, start, first = row[order], start[order], first[order]
+    if len(row):
+        # a run is first if it is by every anchor that covers it
+        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1])]))
+        row, start, first = row[new], start[new], np.minimum.reduceat(first, new)
+    out_row, begin, end, kind = parts_of(row, start, first.astype(bool))
+    values = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(kind)], ["begin", "end", "first"])
+    return lists(values, np.concatenate([[0], np.cumsum(np.bincount(out_row, minlength=len(found)))]))
+
+
+def spans(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of the union of runs, given in order."""
+    if not len(row):
+        return row, start, start
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + MIN_WORDS)])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(row)) - 1
+    return row[at], start[at], start[last] + MIN_WORDS
+
+
+def parts_of(row: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts (row, begin, end, first) of runs in order: what a later run covers isn't first; the rest of the union is."""
+    u_row, u_begin, u_end = spans(row, start)
+    l_row, l_begin, l_end = spans(row[~first], start[~first])
+    # the union that each later span lies in, and what of it is before that span and after the last one
+    wide = np.int64(1) << 40
+    inside = np.searchsorted(u_row * wide + u_begin, l_row * wide + l_begin, "right") - 1
+    before = u_begin[inside]
+    follows = np.flatnonzero(inside[1:] == inside[:-1]) + 1
+    before[follows] = l_end[follows - 1]
+    rest = u_begin.copy()
+    np.maximum.at(rest, inside, l_end)
+    out_row = np.concatenate([l_row, l_row, u_row])
+    begin = np.concatenate([before, l_begin, rest])
+    end = np.concatenate([l_begin, l_end, u_end])
+    kind = np.repeat([True, False, True], [len(l_row), len(l_row), len(u_row)])
+    keep = np.flatnonzero(begin < end)
+    keep = keep[np.lexsort((begin[keep], out_row[keep]))]
+    return out_row[keep], begin[keep], end[keep], kind[keep]
 
 
 def _arrow(function, kind: str):
@@ -156,31 +166,30 @@ def _spans(docs: DataFrame) -> DataFrame:
     """(id, h, parts): for each document with a repeat, its parts; h is the hash of its text."""
     keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text")
     seeds = keyed.select("id", "h", F.inline(_arrow(anchors, "array<struct<a: bigint, c: bigint, p: int, v: bigint>>")("text")))
-    by, order = W.partitionBy("a"), (F.col("id").isNull(), "id", "h", "p")
-    ranked = seeds.select(
-        "*",
-        F.dense_rank().over(W.partitionBy("a", "c").orderBy(*order)).alias("place"),
-        F.min("c").over(by).alias("c0"),
-        F.max("c").over(by).alias("c1"),
-    )
-    sized = ranked.withColumn("size", F.max("place").over(W.partitionBy("a", "c"))).filter("c0 <> c1 OR size > 1")
-    sized = saved(sized.select("a", "id", "h", "p", "v", "place", "size", (F.col("c0") != F.col("c1")).alias("several")).distinct())
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "p")
+    # an anchor may be in a third of all documents: what is asked of its places are sums and least
+    # places, which tasks combine before anything is shuffled; joins on it AQE can split
+    often = seeds.groupBy("a").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).filter("n > 1")
+    shared = saved(seeds.join(often.select("a", (F.col("c0") != F.col("c1")).alias("several")), "a"))
+    classes = shared.groupBy("a", "c").agg(F.min(place).alias("least"), F.max(place).alias("last"))
+    classes = classes.select("a", "c", "least", F.when(F.col("least") == F.col("last"), 1).otherwise(2).alias("size"))
+    sized = shared.join(classes, ["a", "c"]).filter("several OR size > 1").withColumn("heads", place == F.col("least"))
     # whole surroundings are elsewhere; the first place of a class stands for it where there are other classes
-    whole = sized.filter("place > 1 OR NOT several").select("id", "h", "p", F.col("v").alias("cov"), F.when(F.col("place") == 1, F.col("v")).otherwise(0).alias("own"))
-    open_ = sized.filter("place = 1 AND several")
-    wanted = open_.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("p", "a", "size"))).alias("at"))
+    whole = sized.filter("NOT heads OR NOT several").select("id", "h", "p", F.col("v").alias("cov"), F.when(F.col("heads"), F.col("v")).otherwise(0).alias("own"))
+    open_ = sized.filter("heads AND several")
+    wanted = open_.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("p", "a", "size"))).alias("at"))
     wanted = wanted.withColumn("places", F.col("at.p"))
     texts = keyed.join(wanted.withColumnsRenamed({"id": "id2", "h": "h2"}), (F.col("h") == F.col("h2")) & F.col("id").eqNullSafe(F.col("id2")))
     texts = texts.dropDuplicates(["id", "h"])
     around = texts.select("id", "h", F.explode(F.arrays_zip("at", _arrow(runs_around, "array<array<bigint>>")("text", "places").alias("runs"))).alias("x"))
-    around = around.select("id", "h", "x.at.a", "x.at.p", "x.at.size", F.col("x.runs").alias("runs")).repartition("a")
+    around = saved(around.select("x.at.a", "id", "h", "x.at.p", "x.at.size", "x.runs"))
     each = around.select("a", "id", "h", "p", "size", F.posexplode("runs").alias("k", "run")).filter("run <> 0")
-    same = W.partitionBy("a", "k", "run")
-    each = each.withColumn("total", F.sum("size").over(same)).filter("total > 1").withColumn("rank", F.row_number().over(same.orderBy(*order)))
+    said = each.groupBy("a", "k", "run").agg(F.sum("size").alias("total"), F.min(place).alias("least")).filter("total > 1")
+    again = each.join(said, ["a", "k", "run"])
     bit = F.expr("shiftleft(1L, k)")
-    partial = each.groupBy("a", "id", "h", "p").agg(F.sum(bit).alias("cov"), F.sum(F.when(F.col("rank") == 1, bit).otherwise(0)).alias("own"))
+    partial = again.groupBy("a", "id", "h", "p").agg(F.sum(bit).alias("cov"), F.sum(F.when(place == F.col("least"), bit).otherwise(0)).alias("own"))
     found = whole.unionByName(partial.select("id", "h", "p", "cov", "own"))
-    listed = found.groupBy("id", "h").agg(F.collect_list(F.struct("p", "cov", "own")).alias("found"))
+    listed = found.groupBy("id", "h").agg(F.collect_set(F.struct("p", "cov", "own")).alias("found"))
     return listed.select("id", "h", _arrow(merged, "array<struct<begin: int, end: int, first: boolean>>")("found").alias("parts"))
 
 
@@ -200,27 +209,41 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def cut(texts: pa.Array, parts: pa.Array) -> pa.Array:
     """The texts without the parts that stand elsewhere first."""
-    spelled, out = texts.to_pylist(), []
-    for text, spans in zip(spelled, parts.to_pylist(), strict=True):
-        drop = [(x["begin"], x["end"]) for x in spans or [] if not x["first"]]
-        if text is None or not drop:
-            out.append(text)
-            continue
-        data = np.frombuffer(text.encode(), np.uint8)
-        words = Words(data, np.array([0, len(data)]))
-        kept, at = [], 0
-        for b, e in drop:
-            kept.append(data[at : words.starts[b]].tobytes())
-            at = int(words.starts[e]) if e < len(words.starts) else len(data)
-        kept.append(data[at:].tobytes())
-        out.append(b"".join(kept).decode())
-    return pa.array(out, pa.string())
+    data, offsets = raw(texts)
+    many = np.asarray(parts.value_lengths().fill_null(0))
+    items, item_row = parts.flatten(), np.repeat(np.arange(len(parts)), many)
+    drop = np.flatnonzero(~np.asarray(items.field("first")))
+    row, begin, end = item_row[drop], np.asarray(items.field("begin"))[drop].astype(np.int64), np.asarray(items.field("end"))[drop].astype(np.int64)
+    out, sizes = [], np.diff(offsets)
+    for lo, hi in steps(offsets):
+        part = data[offsets[lo] : offsets[hi]]
+        mine = slice(*np.searchsorted(row, [lo, hi]))
+        if row[mine].size:
+            at = offsets[lo : hi + 1] - offsets[lo]
+            words = Words(part, at)
+            r = row[mine] - lo
+            first, last = words.rows[r] + begin[mine], words.rows[r] + end[mine]
+            # up to where the next word begins, or the text ends
+            begins = words.starts[first]
+            ends = np.where(last < words.rows[r + 1], words.starts[np.minimum(last, len(words.starts) - 1)], at[r + 1])
+            gone = np.zeros(len(part) + 1, np.int32)
+            np.add.at(gone, begins, 1)
+            np.add.at(gone, ends, -1)
+            keep = np.cumsum(gone[:-1]) == 0
+            kept = np.concatenate([[0], np.cumsum(keep)])
+            sizes[lo:hi] = np.diff(kept[at])
+            part = part[keep]
+        out.append(part)
+    made = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.py_buffer(np.concatenate([np.zeros(0, np.uint8), *out]))])
+    return pc.if_else(texts.is_valid(), made, pa.scalar(None, pa.large_string())).cast(pa.string())
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with each repeated passage left only where it stands first; all columns, n_chars counted anew.
 
-    A document that is nothing but repeats keeps its row, with what is left of its text.
+    A document that is nothing but repeats keeps its row, with what is left of its text. Null,
+    empty and short texts stay as they are; rows that repeat are one document and all stay as
+    they are cut. An empty table gives an empty one.
     """
     spans = _spans(docs).select(F.col("id").alias("__rv_id"), F.col("h").alias("__rv_h"), F.col("parts").alias("__rv_parts"))
     joined = docs.withColumn("__rv_hash", F.xxhash64("text")).join(spans, (F.col("__rv_hash") == F.col("__rv_h")) & F.col("doc_id").eqNullSafe(F.col("__rv_id")), "left")
