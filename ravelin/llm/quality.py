@@ -1,20 +1,24 @@
 """Operator 7: quality rules by distribution divergence.
 
 Every document has two histograms: of character classes, and of common words (one
-slot a word, one for all other words). They are held against the references of the
-document's language, which are the pooled histograms of all documents that carry
-that language, by Jensen-Shannon distance (the root of the divergence to base 2).
+slot a word, one for all other words). The common words of a language are its COMMON
+most frequent ones, counted over all documents that carry it, so any language has its
+own. The histograms are held against the references of the document's language, which
+are the pooled histograms of these documents, by Jensen-Shannon distance (the root of
+the divergence to base 2).
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ravelin.llm.text import FOLD_FROM, FOLD_TO, WORD_RE2, Words, lean, raw, steps
+from ravelin.llm.text import FOLD_FROM, FOLD_TO, WORD_RE2, HashTable, Words, lean, mix, raw, steps
 
 #: Character classes by byte; a non-ASCII character counts once, by its first byte.
 CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "sign", "control", "other")
@@ -28,43 +32,71 @@ _CLASS[:9] = _CLASS[[11, 12, *range(14, 32), 127]] = 7
 _CLASS[192:] = 8
 _CLASS[128:192] = 9
 
-#: Function words of a few languages; the slots of the word histogram, for documents of any language.
-COMMON = tuple(
-    dict.fromkeys(
-        (
-            "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which "
-            "der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei "
-            "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec "
-            "que el y los del se las por con no una su para es al lo como más pero sus"
-        ).split()
-    )
-)
-SLOTS = len(COMMON) + 1
+#: Words of a language that have slots of their own; the last slot is for all others.
+COMMON = 64
+SLOTS = COMMON + 1
 #: A document of n words is rejected beyond base + spread / sqrt(n): the spread allows for what chance does to a short text.
 CLASS_BASE, CLASS_SPREAD = 0.2, 0.8
-WORD_BASE, WORD_SPREAD = 0.08, 2.6
+WORD_BASE, WORD_SPREAD = 0.12, 2.6
 #: Fewer words than this are too few to judge: such a document is accepted.
 MIN_WORDS = 30
 
 
-def histograms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+class Reference(NamedTuple):
+    """Of one language: its common words, and the pooled characters by class and words by slot."""
+
+    words: list[bytes]
+    classes: list[int]
+    slots: list[int]
+
+
+def class_counts(part: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(rows, classes) of rows that begin at ``at``."""
+    kind = _CLASS[part]
+    out = np.zeros((len(at) - 1, len(CLASSES)), np.int64)
+    for c in range(len(CLASSES)):
+        out[:, c] = np.diff(np.concatenate([[0], np.cumsum(kind == c)])[at])
+    return out
+
+
+class Slots:
+    """Common words of all languages in one table, by the hashes of word and language."""
+
+    def __init__(self, reference: dict[str | None, Reference]):
+        self.langs = {name: i for i, name in enumerate(reference)}
+        hashes, slot = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, one in enumerate(reference.values()):
+            if one.words:
+                own = Words(np.frombuffer(b" ".join(one.words), np.uint8), np.array([0, sum(map(len, one.words)) + len(one.words) - 1]))
+                hashes.append(own.hashes ^ self._mark(np.full(len(one.words), i)))
+                slot.append(np.arange(len(one.words)))
+        self.table, self.slot = HashTable(np.concatenate(hashes)), np.append(np.concatenate(slot), SLOTS - 1)
+
+    @staticmethod
+    def _mark(lang: np.ndarray) -> np.ndarray:
+        return mix(lang.astype(np.uint64) + np.uint64(2))
+
+    def of(self, hashes: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        return self.slot[self.table.find(hashes ^ self._mark(lang))]
+
+
+def histograms(column: pa.Array, langs: pa.Array, slots: Slots) -> tuple[np.ndarray, np.ndarray]:
     """(characters by class, words by slot) of every row."""
     data, offsets = raw(column)
-    common = pa.array([w.encode() for w in COMMON], pa.large_binary())
+    coded = langs.dictionary_encode(null_encoding="encode")
+    lang = np.array([slots.langs.get(name, -1) for name in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
     classes = np.zeros((len(column), len(CLASSES)), np.int64)
-    slots = np.zeros((len(column), SLOTS), np.int64)
+    words_by = np.zeros((len(column), SLOTS), np.int64)
     for lo, hi in steps(offsets):
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if not len(part):
             continue
-        kind = _CLASS[part]
-        for c in range(len(CLASSES)):
-            classes[lo:hi, c] = np.diff(np.concatenate([[0], np.cumsum(kind == c)])[at])
+        classes[lo:hi] = class_counts(part, at)
         words = Words(part, at)
-        index = np.asarray(pc.index_in(words.array(), value_set=common).fill_null(SLOTS - 1)).astype(np.int64)
         row = np.repeat(np.arange(hi - lo), np.diff(words.rows))
-        slots[lo:hi] = np.bincount(row * SLOTS + index, minlength=(hi - lo) * SLOTS).reshape(hi - lo, SLOTS)
-    return classes, slots
+        index = slots.of(words.hashes, lang[lo + row])
+        words_by[lo:hi] = np.bincount(row * SLOTS + index, minlength=(hi - lo) * SLOTS).reshape(hi - lo, SLOTS)
+    return classes, words_by
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -78,42 +110,65 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum((a + b) / 2, 0)) + 0 * p.sum(-1) * q.sum(-1)
 
 
-Reference = dict[str | None, tuple[list[int], list[int]]]
-
+def references(docs: DataFrame) -> dict[str | None, Reference]:
+    """Of each language over all its documents; a null language is one of its own.
 
-def references(docs: DataFrame) -> Reference:
-    """Pooled histograms of each language over all documents; a null language is one of its own.
-
-    Tasks add up their documents, so what is shuffled and what reaches the driver is a row for
-    each language and slot.
+    Tasks add up their documents, and words are summed by (language, word). Of those, each task
+    passes on the most frequent COMMON of a language alone; words of equal counts are taken in
+    their order. What reaches the driver is bounded for each language.
     """
 
     def add(batches):
-        total: dict[str | None, np.ndarray] = {}
         for batch in batches:
-            both = np.hstack(histograms(batch.column(1)))
+            data, offsets = raw(batch.column(1))
             coded = batch.column(0).dictionary_encode(null_encoding="encode")
-            index = coded.indices.to_numpy()
-            for i, name in enumerate(coded.dictionary.to_pylist()):
-                total[name] = total.get(name, 0) + both[index == i].sum(0)
-        for name, counts in total.items():
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(counts), pa.string()), "slot": pa.array(range(len(counts)), pa.int32()), "n": pa.array(counts, pa.int64())})
+            lang, names = coded.indices.to_numpy(), coded.dictionary
+            totals = np.zeros((len(names), len(CLASSES) + 1), np.int64)
+            for lo, hi in steps(offsets, 1 << 24):
+                tables = []
+                for a, b in steps(offsets[lo : hi + 1] - offsets[lo]):
+                    a, b = lo + a, lo + b
+                    part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                    words = Words(part, at)
+                    np.add.at(totals[:, 1:], lang[a:b], class_counts(part, at))
+                    np.add.at(totals[:, 0], lang[a:b], np.diff(words.rows))
+                    tables.append(pa.table({"lang": pa.array(np.repeat(lang[a:b], np.diff(words.rows))), "word": words.array()}).group_by(["lang", "word"]).aggregate([([], "count_all")]))
+                summed = pa.concat_tables(tables).group_by(["lang", "word"]).aggregate([("count_all", "sum")])
+                named = names.take(summed["lang"].combine_chunks())
+                size = len(named)
+                yield pa.RecordBatch.from_arrays([named.cast(pa.string()), pa.nulls(size, pa.int32()), summed["word"].combine_chunks().cast(pa.binary()), summed["count_all_sum"].combine_chunks()], ["lang", "kind", "word", "n"])
+            if len(names):
+                kinds = pa.array(np.tile(np.arange(totals.shape[1]), len(names)), pa.int32())
+                each = names.take(pa.array(np.repeat(np.arange(len(names)), totals.shape[1])))
+                yield pa.RecordBatch.from_arrays([each.cast(pa.string()), kinds, pa.nulls(len(kinds), pa.binary()), pa.array(totals.ravel())], ["lang", "kind", "word", "n"])
 
-    summed = docs.select("lang", "text").mapInArrow(add, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    made: dict[str | None, np.ndarray] = {}
-    for row in summed.collect():
-        made.setdefault(row["lang"], np.zeros(len(CLASSES) + SLOTS, np.int64))[row["slot"]] = row["n"]
-    return {k: (v[: len(CLASSES)].tolist(), v[len(CLASSES) :].tolist()) for k, v in made.items()}
+    summed = docs.select("lang", "text").mapInArrow(add, "lang string, kind int, word binary, n bigint").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
+    order = W.partitionBy("lang", F.col("kind").isNull()).orderBy(F.col("n").desc(), "word")
+    top = summed.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= COMMON)
+    words: dict[str | None, list] = {}
+    totals: dict[str | None, list[int]] = {}
+    for row in sorted(top.collect(), key=lambda r: r["nth"]):
+        if row["kind"] is None:
+            words.setdefault(row["lang"], []).append((bytes(row["word"]), row["n"]))
+        else:
+            totals.setdefault(row["lang"], [0] * (len(CLASSES) + 1))[row["kind"]] = row["n"]
+    made = {}
+    for name, (many, *classes) in totals.items():
+        own = words.get(name, [])
+        counts = [n for _, n in own]
+        made[name] = Reference([w for w, _ in own], classes, [*counts, *[0] * (COMMON - len(own)), many - sum(counts)])
+    return made
 
 
-def judged(text: Column | str, lang: Column | str, reference: Reference) -> Column:
+def judged(text: Column | str, lang: Column | str, reference: dict[str | None, Reference]) -> Column:
     """struct<n_words, class_distance, word_distance, accepted> of a text in its language."""
-    keep = {k: (np.array(c), np.array(w)) for k, (c, w) in reference.items()}
+    keep = {k: (np.array(r.classes), np.array(r.slots)) for k, r in reference.items()}
+    table = Slots(reference)
 
     @F.arrow_udf("struct<n_words: bigint, class_distance: double, word_distance: double, accepted: boolean>")
     @lean
     def judge(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        classes, slots = histograms(texts)
+        classes, slots = histograms(texts, langs, table)
         n = slots.sum(1)
         far = np.full((2, len(texts)), np.nan)
         coded = langs.dictionary_encode(null_encoding="encode")
@@ -145,7 +200,11 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def accepted_only(docs: DataFrame) -> DataFrame:
-    """The rows that quality() accepts, with all their columns."""
+    """The rows that quality() accepts, with all their columns, each by itself: rows that repeat stay or go together.
+
+    Null, empty and short texts stay, as do rows with a null language or doc_id if they are like
+    the rest of their language. An empty table gives an empty one.
+    """
     ok = judged("text", "lang", references(docs))
     return docs.withColumn("__rv_judged", ok).filter("__rv_judged.accepted").drop("__rv_judged")
 
@@ -174,13 +233,16 @@ classes AS (
   SELECT r, lang, slot, n FROM (
     SELECT *, n_all - lower - upper - digit - blank - line - stop - control - other AS sign FROM raw_classes)
   UNPIVOT (n FOR slot IN (lower, upper, digit, blank, line, stop, sign, control, other))),
-slots AS (SELECT unnest([{", ".join(f"'{w}'" for w in COMMON)}, '']) AS slot),
+tokens AS (SELECT r, lang, unnest(regexp_extract_all(translate(text, '{FOLD_FROM}', '{FOLD_TO}'), '{WORD_RE2}')) AS w FROM d),
+common AS (
+  SELECT lang, w AS slot FROM (SELECT lang, w, count(*) AS n FROM tokens GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= {COMMON}),
+slots AS (SELECT lang, slot FROM common UNION ALL SELECT DISTINCT lang, '' FROM d),
 said AS (
-  SELECT r, CASE WHEN w IN (SELECT slot FROM slots) THEN w ELSE '' END AS slot, count(*) AS n
-  FROM (SELECT r, unnest(regexp_extract_all(translate(text, '{FOLD_FROM}', '{FOLD_TO}'), '{WORD_RE2}')) AS w FROM d)
-  GROUP BY ALL),
+  SELECT t.r, coalesce(c.slot, '') AS slot, count(*) AS n
+  FROM tokens t LEFT JOIN common c ON c.lang = t.lang AND c.slot = t.w GROUP BY ALL),
 words AS (
-  SELECT d.r, d.lang, s.slot, coalesce(said.n, 0) AS n FROM d CROSS JOIN slots s LEFT JOIN said ON said.r = d.r AND said.slot = s.slot),
+  SELECT d.r, d.lang, s.slot, coalesce(said.n, 0) AS n FROM d JOIN slots s USING (lang) LEFT JOIN said ON said.r = d.r AND said.slot = s.slot),
 class_far AS (WITH {_SHARES.format(counts="classes")}),
 word_far AS (WITH {_SHARES.format(counts="words")}),
 totals AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_words FROM words GROUP BY r),

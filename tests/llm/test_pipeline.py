@@ -1,6 +1,8 @@
 """The pipeline against a version that compares everything with everything."""
 
+import collections
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,25 @@ def folder(spark, make, tmp_path):
     return str(tmp_path)
 
 
+def plain_histograms(texts):
+    """Characters by class and words by slot, a character and a word at a time; one language."""
+    said = [[w.lower() for w in re.findall(r"[0-9A-Za-z_\x80-\U0010ffff]+", t or "")] for t in texts]
+    count = collections.Counter(w for s in said for w in s)
+    common = sorted(count, key=lambda w: (-count[w], w))[: quality.COMMON]
+    slots = np.array([[s.count(w) for w in common] + [0] * (quality.COMMON - len(common)) + [sum(w not in common for w in s)] for s in said])
+
+    def kind(c):
+        for name, holds in (("lower", "a" <= c <= "z"), ("upper", "A" <= c <= "Z"), ("digit", "0" <= c <= "9"), ("blank", c in " \t"), ("line", c in "\n\r"), ("stop", c in ".,;:?'\"()-"), ("other", ord(c) > 127), ("control", ord(c) < 32 or ord(c) == 127)):
+            if holds:
+                return quality.CLASSES.index(name)
+        return quality.CLASSES.index("sign")
+
+    classes = np.array([np.bincount([kind(c) for c in t or ""], minlength=len(quality.CLASSES)) for t in texts])
+    return classes, slots
+
+
 def brute(rows, items):
-    texts = pa.array([t for _, t in rows], pa.string())
-    classes, slots = quality.histograms(texts)
+    classes, slots = plain_histograms([t for _, t in rows])
     n = slots.sum(1)
     with np.errstate(all="ignore"):
         bad = (quality.distance(classes, classes.sum(0)) > quality.CLASS_BASE + quality.CLASS_SPREAD / np.sqrt(n)) | (quality.distance(slots, slots.sum(0)) > quality.WORD_BASE + quality.WORD_SPREAD / np.sqrt(n))
@@ -90,5 +108,35 @@ def test_stages_keep_the_columns_and_bear_odd_rows(spark, odd, none, folder):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "substring_dedup", "benchmark_decontamination", "bpe_encode_decode"]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, odd, folder).columns == odd.columns and stage(spark, none, folder).count() == 0
+    docs, empty = odd, none
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, empty = stage(spark, docs, folder), stage(spark, empty, folder)
+        rows = docs.collect()
+        assert docs.columns == odd.columns and empty.columns == odd.columns and not empty.collect()
+        assert sum(r.text is None for r in rows) == 2 and sum(r.text == "" for r in rows) == 1
+        assert sum(r.doc_id == 3 for r in rows) == (2 if name == "quality_rules" else 1) and all(r.fp == "clash" for r in rows)
+        docs = spark.createDataFrame(rows, odd.schema)
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert len(got) == docs.count() and all((r.token_ids is None) == (r.round_trip is None) for r in got)
+
+
+def test_run_on_odd_and_empty_tables(spark, odd, none, folder, tmp_path):
+    import corpus_pipeline
+
+    for name, rows in (("odd", odd), ("none", none)):
+        at = tmp_path / name
+        rows.write.parquet(str(at / "documents.parquet"))
+        spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(str(at / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(at)).collect()
+        assert len(got) == (8 if name == "odd" else 0)
+        assert got == [] or sorted(str(r.doc_id) for r in got) == ["1", "2", "3", "4", "5", "6", "None", "None"]
+
+
+def test_no_benchmark_leaves_all(spark, odd, folder):
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    assert decontaminate.clean_only(odd, items.limit(0)).count() == odd.count()
+    twice = spark.createDataFrame([(1, "one two three four five six seven"), (1, "one two three four five six seven"), (2, None), (3, "")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(7, "say one two three four five six seven now"), (7, "say one two three four five six seven now")], "doc_id bigint, text string")
+    for limit in (0, 1 << 20):
+        assert sorted((r.doc_id, r.item_id, r.containment) for r in decontaminate.contaminated(docs, twice, limit).collect()) == [(7, 1, 1.0)] * 4
+        assert decontaminate.clean_only(docs, twice, limit).count() == 0
