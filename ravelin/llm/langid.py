@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ravelin.llm.text import raw
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 128, (2, 3, 4), 8, 8
-#: Bound of the labelled sample, in documents of each language, and windows taken from all over each of them.
-SAMPLE_DOCUMENTS, SAMPLE_WINDOWS = 400, 8
+#: Bound of the labelled sample for each language: about so many documents, and of all windows of these about so many, both chosen by hash.
+SAMPLE_DOCUMENTS, SAMPLE_WINDOWS = 400, 3200
 EPOCHS, BATCH, RATE = 6, 64, 0.004
 #: Windows that one step scores.
 STEP_WINDOWS = 64
@@ -132,18 +132,25 @@ def gather(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndar
     return np.where(np.arange(WINDOW) < lengths[:, None], data[np.minimum(at, max(0, len(data) - 1))], 0)
 
 
-def sample(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> list[tuple[str, str]]:
-    """(lang, text of a window) from about ``documents`` documents of each language, chosen by hash, and all parts of them."""
-    counts = {r["lang"]: r["n"] for r in docs.filter("lang IS NOT NULL AND text <> ''").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def sample(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, windows: int = SAMPLE_WINDOWS) -> list[tuple[str, bytes]]:
+    """(lang, bytes of a window) of about ``windows`` windows from anywhere in about ``documents`` documents of each language."""
+    labelled = docs.filter("lang IS NOT NULL AND text <> ''")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, documents / n)).otherwise(share)
-    picked = docs.filter("lang IS NOT NULL AND text <> ''").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share * 1_000_000)
-    step = F.greatest(F.lit(1), F.ceil(F.length("text") / SAMPLE_WINDOWS).cast("int"))
-    parts = F.transform(F.sequence(F.lit(1), F.length("text"), step), lambda at: F.substring(F.col("text"), at, F.lit(WINDOW)))
-    return sorted((r["lang"], r["part"]) for r in picked.select("lang", F.explode(parts).alias("part")).collect())
+
+    def picked(rows: DataFrame, many: dict[str, int], most: int, *key: str) -> DataFrame:
+        share = F.lit(0.0)
+        for lang, n in many.items():
+            share = F.when(F.col("lang") == lang, min(1.0, most / n)).otherwise(share)
+        return rows.filter(F.pmod(F.xxhash64(*key), F.lit(1_000_000)) < share * 1_000_000)
+
+    chosen = picked(labelled, counts, documents, "doc_id", "text")
+    begins = F.sequence(F.lit(1), F.octet_length("text"), F.lit(WINDOW))
+    parts = chosen.select("lang", "doc_id", F.encode("text", "UTF-8").alias("data"), F.explode(begins).alias("at"))
+    many = {r["lang"]: r["n"] for r in parts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    parts = picked(parts, many, windows, "doc_id", "at").select("lang", F.substring("data", F.col("at"), F.lit(WINDOW)).alias("part"))
+    return sorted((r["lang"], bytes(r["part"])) for r in parts.collect())
 
 
 def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> ByteCnn | None:
@@ -152,8 +159,7 @@ def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> ByteCnn | None:
     if not rows:
         return None
     labels = sorted({lang for lang, _ in rows})
-    texts = [part.encode()[:WINDOW] for _, part in rows]
-    windows = np.stack([np.frombuffer(t.ljust(WINDOW, b"\0"), np.uint8) for t in texts])
+    windows = np.stack([np.frombuffer(part.ljust(WINDOW, b"\0"), np.uint8) for _, part in rows])
     model = ByteCnn(labels)
     model.fit(windows, np.array([labels.index(lang) for lang, _ in rows]))
     return model
@@ -179,7 +185,8 @@ def identify(docs: DataFrame, model: ByteCnn | None = None, documents: int = SAM
     """The language of every document by its text.
 
     Returns doc_id, predicted, probability, n_windows. Without a model, one is trained on the
-    labelled rows of the same table (at most about ``documents`` of each language). A null or
+    labelled rows of the same table (about ``documents`` documents of each language at most, and
+    SAMPLE_WINDOWS of their windows); it is applied to all windows of all rows. A null or
     empty text has no windows and null answers, as has every text where no row is labelled.
     Equal scores go to the label that sorts first. Repeated rows get the same answer each. An
     empty table gives an empty one; other columns aren't carried along.
