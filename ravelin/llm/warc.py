@@ -20,9 +20,9 @@ IGNORED_PARAMETERS = ("ref", "fbclid", "gclid", "sessionid")
 
 
 def canonical_url(url: Column | str) -> Column:
-    """Scheme, www. and m. prefix, default port, fragment, ignored parameters and a last slash are left out; the host is in lower case, parameters are sorted."""
+    """Scheme, www. prefix, default port, fragment, ignored parameters and a last slash are left out; the host is in lower case, parameters are sorted."""
     u = F.regexp_replace(F.trim(F.col(url) if isinstance(url, str) else url), "#.*$", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?]*)", 1)), r"^(?:www|m)\.|:(?:80|443)$", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?]*)", 1)), r"^www\d*\.|:(?:80|443)$", "")
     host = F.regexp_replace(host, r":(?:80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(u, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?]*([^?]*)", 1), "/+$", "")
     query = F.regexp_extract(u, r"\?(.*)$", 1)
@@ -51,10 +51,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.transform(F.coalesce("headers", F.expr("cast(array() as array<struct<name: string, value: string>>)")), lambda h: F.struct(F.lower(h["name"]).alias("name"), h["value"].alias("value"))).alias("headers"),
         full.alias("full"),
     )
-    response = F.when(F.col("full") & F.col("captured_at").isNotNull(), F.struct("record_id", "etag", "last_modified", "digest", "headers"))
+    response = F.struct("record_id", "etag", "last_modified", "digest", "headers")
+    timed = "canonical_url IS NOT NULL AND captured_at IS NOT NULL"
     order = W.partitionBy("canonical_url").orderBy(F.col("captured_at"), F.col("full").desc(), "record_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    seen = wanted.withColumn("r", F.last(response, ignorenulls=True).over(order)).filter("NOT full")
-    known = F.col("canonical_url").isNotNull() & F.col("captured_at").isNotNull() & F.col("r").isNotNull()
+    seen = wanted.filter(timed).withColumn("r", F.last(F.when(F.col("full"), response), ignorenulls=True).over(order)).filter("NOT full")
+    # what has no URL or no time meets no window, as all of it would be one group
+    lost = wanted.filter(f"NOT full AND NOT ({timed})").withColumn("r", F.when(F.lit(False), response))
+    seen = seen.unionByName(lost)
+    known = F.col("r").isNotNull()
     weak = lambda tag: F.regexp_replace(tag, "^W/", "")
     by_tag = weak(F.col("etag")) == weak(F.col("r.etag"))
     by_time = F.col("last_modified") == F.col("r.last_modified")
@@ -103,7 +107,7 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
 
 _U = "regexp_replace(trim(url), '#.*$', '')"
 _SCHEME = "(?:[A-Za-z][A-Za-z0-9+.-]*://)?"
-_HOST = rf"regexp_replace(regexp_replace(lower(regexp_extract({_U}, '^{_SCHEME}([^/?]*)', 1)), '^(?:www|m)\.|:(?:80|443)$', ''), ':(?:80|443)$', '')"
+_HOST = rf"regexp_replace(regexp_replace(lower(regexp_extract({_U}, '^{_SCHEME}([^/?]*)', 1)), '^www\d*\.|:(?:80|443)$', ''), ':(?:80|443)$', '')"
 _PATH = f"regexp_replace(regexp_extract({_U}, '^{_SCHEME}[^/?]*([^?]*)', 1), '/+$', '')"
 _KEPT = f"list_sort(list_filter(string_split(regexp_extract({_U}, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN {IGNORED_PARAMETERS} AND NOT starts_with(lower(p), 'utm_')))"
 _TAG = "'\"' || substr(md5(html), 1, 12) || '\"'"
