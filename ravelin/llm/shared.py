@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +13,29 @@ from pyspark.sql import Window as W
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a folder of our own only where it names none."""
+    """The shared folder that the session names in spark.checkpoint.dir.
+
+    Where it names none, a local session, as in tests, gets a folder of its own that goes when
+    Python ends; on a cluster that is an error, as other machines wouldn't see the folder.
+    """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate rows, wherever it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows, written to the checkpoint folder; an executor that is lost later takes nothing with it."""
     checkpoint_dir(df.sparkSession)
