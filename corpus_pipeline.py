@@ -5,7 +5,7 @@ All but the last return the columns of documents. Nulls, empty texts, repeated r
 columns and empty tables are treated as each operator's docstring says:
 
 * quality rules drop documents that they reject; null, empty and short texts are kept;
-* SimHash near-dedup keeps the row of the least doc_id of each group; texts without words are kept;
+* SimHash near-dedup keeps one row of each group, that of the least doc_id; texts without words are kept;
 * substring dedup takes out passages that stand in an earlier document; the rows stay;
 * decontamination drops documents that hold a benchmark item;
 * BPE encoding returns doc_id, token_ids, n_tokens, round_trip.
@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ravelin.llm import bpe, decontaminate, quality, simhash, substring
-from ravelin.llm.shared import checkpoint_dir
+from ravelin.llm.shared import checkpoint_dir, drop_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -60,11 +60,18 @@ _RUNS = iter(range(1 << 62))
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each but the last is written as Parquet to the shared folder and read again."""
+    """All stages over the documents of ``sf_dir``; each but the last is written as Parquet to the shared folder and read again.
+
+    A stage's rows are deleted when those of the next are written; the last ones stay, as the result reads them.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = checkpoint_dir(spark)
+    before = None
     for name, stage in STAGES[:-1]:
         at = f"{folder}/pipeline-{spark.sparkContext.applicationId}-{next(_RUNS)}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before:
+            drop_folder(spark, before)
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)
