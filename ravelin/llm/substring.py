@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ravelin.llm.shared import saved
 from ravelin.llm.text import Words, grams, lean, lists, mix, raw, sliding_min, steps
@@ -32,6 +33,11 @@ MIN_WORDS, SEED = 50, 24
 #: Seeds among which one is an anchor; also the number of runs of MIN_WORDS words that hold a given seed.
 REACH = MIN_WORDS - SEED + 1
 
+#: Anchors with more surroundings than this are too many for one task.
+HOT_CLASSES = 1 << 16
+#: Places whose runs one vectorised step merges.
+STEP_PLACES = 1 << 14
+
 _AROUND = np.arange(-(REACH - 1), SEED + REACH - 1)
 _WEIGHTS = mix(np.arange(1, len(_AROUND) + 1, dtype=np.uint64)) | np.uint64(1)
 _EDGE = np.uint64(0x452821E638D01377)
@@ -107,6 +113,14 @@ def merged(found: pa.Array) -> pa.Array:
     ``first`` if no run that is elsewhere first covers it.
     """
     many = np.asarray(found.value_lengths().fill_null(0))
+    values = [_merged(found.slice(lo, hi - lo), many[lo:hi]) for lo, hi in steps(np.concatenate([[0], np.cumsum(many)]), STEP_PLACES)]
+    kind = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("first", pa.bool_())])
+    sizes = np.concatenate([[0], *(n for _, n in values)])
+    return lists(pa.concat_arrays([pa.array([], kind), *(v for v, _ in values)]), np.cumsum(sizes))
+
+
+def _merged(found: pa.Array, many: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The parts of some rows, and how many each row has."""
     items, item_row = found.flatten(), np.repeat(np.arange(len(found)), many)
     p, cov, own = (np.asarray(items.field(name)).astype(np.int64) for name in ("p", "cov", "own"))
     rows, starts, mine = [], [], []
@@ -124,7 +138,7 @@ def merged(found: pa.Array) -> pa.Array:
         row, start, first = row[new], start[new], np.minimum.reduceat(first, new)
     out_row, begin, end, kind = parts_of(row, start, first.astype(bool))
     values = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(kind)], ["begin", "end", "first"])
-    return lists(values, np.concatenate([[0], np.cumsum(np.bincount(out_row, minlength=len(found)))]))
+    return values, np.bincount(out_row, minlength=len(found))
 
 
 def spans(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,11 +176,40 @@ def _arrow(function, kind: str):
     return F.arrow_udf(lean(function), kind)
 
 
-def _spans(docs: DataFrame) -> DataFrame:
+#: The order of places: by document (null last), text and position.
+_PLACE = ("id", "h", "p")
+
+
+def _place():
+    return F.struct(F.col("id").isNull().alias("none"), *_PLACE)
+
+
+def _partial(rows: DataFrame) -> DataFrame:
+    """(a, id, h, p, cov, own) from rows (a, id, h, p, k, heads): the runs of each place that others have, and those that it has first."""
+    bit = F.expr("shiftleft(1L, k)")
+    return rows.groupBy("a", *_PLACE).agg(F.sum(bit).alias("cov"), F.sum(F.when(F.col("heads"), bit).otherwise(0)).alias("own"))
+
+
+def _by_window(around: DataFrame) -> DataFrame:
+    """Who else has each run around an anchor: one shuffle of runs in arrays, and one task for all places of an anchor."""
+    each = around.repartition("a").select("a", *_PLACE, "size", F.posexplode("runs").alias("k", "run")).filter("run <> 0")
+    same = W.partitionBy("a", "k", "run")
+    each = each.withColumn("total", F.sum("size").over(same)).filter("total > 1")
+    return _partial(each.withColumn("heads", F.row_number().over(same.orderBy(F.col("id").isNull(), *_PLACE)) == 1))
+
+
+def _by_sums(around: DataFrame) -> DataFrame:
+    """The same for anchors with very many places: sums and least places, combined before the shuffle, and a join that AQE can split."""
+    each = around.select("a", *_PLACE, "size", F.posexplode("runs").alias("k", "run")).filter("run <> 0")
+    said = each.groupBy("a", "k", "run").agg(F.sum("size").alias("total"), F.min(_place()).alias("least")).filter("total > 1")
+    return _partial(each.join(said, ["a", "k", "run"]).withColumn("heads", _place() == F.col("least")))
+
+
+def _spans(docs: DataFrame, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """(id, h, parts): for each document with a repeat, its parts; h is the hash of its text."""
     keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text")
     seeds = keyed.select("id", "h", F.inline(_arrow(anchors, "array<struct<a: bigint, c: bigint, p: int, v: bigint>>")("text")))
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "p")
+    place = _place()
     # an anchor may be in a third of all documents: what is asked of its places are sums and least
     # places, which tasks combine before anything is shuffled; joins on it AQE can split
     often = seeds.groupBy("a").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).filter("n > 1")
@@ -182,12 +225,13 @@ def _spans(docs: DataFrame) -> DataFrame:
     texts = keyed.join(wanted.withColumnsRenamed({"id": "id2", "h": "h2"}), (F.col("h") == F.col("h2")) & F.col("id").eqNullSafe(F.col("id2")))
     texts = texts.dropDuplicates(["id", "h"])
     around = texts.select("id", "h", F.explode(F.arrays_zip("at", _arrow(runs_around, "array<array<bigint>>")("text", "places").alias("runs"))).alias("x"))
-    around = saved(around.select("x.at.a", "id", "h", "x.at.p", "x.at.size", "x.runs"))
-    each = around.select("a", "id", "h", "p", "size", F.posexplode("runs").alias("k", "run")).filter("run <> 0")
-    said = each.groupBy("a", "k", "run").agg(F.sum("size").alias("total"), F.min(place).alias("least")).filter("total > 1")
-    again = each.join(said, ["a", "k", "run"])
-    bit = F.expr("shiftleft(1L, k)")
-    partial = again.groupBy("a", "id", "h", "p").agg(F.sum(bit).alias("cov"), F.sum(F.when(place == F.col("least"), bit).otherwise(0)).alias("own"))
+    around = around.select("x.at.a", "id", "h", "x.at.p", "x.at.size", "x.runs")
+    hot = classes.groupBy("a").count().filter(F.col("count") > hot_classes).select("a")
+    if hot.isEmpty():
+        partial = _by_window(around)
+    else:
+        around, hot = saved(around), saved(hot)
+        partial = _by_window(around.join(hot, "a", "left_anti")).unionByName(_by_sums(around.join(hot, "a", "left_semi")))
     found = whole.unionByName(partial.select("id", "h", "p", "cov", "own"))
     listed = found.groupBy("id", "h").agg(F.collect_set(F.struct("p", "cov", "own")).alias("found"))
     return listed.select("id", "h", _arrow(merged, "array<struct<begin: int, end: int, first: boolean>>")("found").alias("parts"))

@@ -224,6 +224,13 @@ def test_repeats_are_those_of_brute_force(make):
     assert set(got) == brute_repeats(hashed)
 
 
+def test_anchors_of_many_places_are_split(make):
+    docs = make(passages(seed=4, n=80))
+    inlined = lambda hot: sorted(map(str, substring._spans(docs, hot).selectExpr("id", "inline(parts)").collect()))
+    want = inlined(1 << 16)
+    assert len(want) > 50 and inlined(0) == want and inlined(3) == want
+
+
 def test_cut_leaves_each_passage_once(make):
     rows = [r for r in passages(seed=8, n=60) if r[0] not in (500, 501)]
     docs = make(rows)
