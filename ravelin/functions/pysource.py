@@ -29,7 +29,7 @@ RUNNERS = frozenset("subprocess." + f for f in "Popen call check_call check_outp
 TOOLS, NC_FLAGS = frozenset("curl nc ncat netcat wget".split()), frozenset("-c -e -k -l -p -u -z".split())
 REF_CALLS = frozenset("Popen call check_call check_output eval exec popen run system".split())
 CLIMB, ESCAPE = frozenset("__base__ __bases__ __class__ __mro__ __subclasses__".split()), frozenset("__builtins__ __code__ __getattr__ __globals__ __import__".split())
-STARS = {"os": "system popen execl execv execvp execvpe spawnl spawnle spawnlp spawnlpe", "subprocess": "run call check_call check_output Popen", "pickle": "load loads", "importlib": "import_module"}
+STARS = {"os": "system popen execl execv execvp execvpe spawnl spawnle spawnlp spawnlpe", "subprocess": "run call check_call check_output Popen", "pickle": "load loads", "importlib": "import_module", "socket": "getaddrinfo"}
 ROT = {"rot13", "rot_13", "rot-13"}
 DEPTH, SIZE, ITEMS = 50, 10_000, 1_000
 SEVERITY = {"EXEC-002": "critical", "EXEC-006": "high", "EXEC-007": "critical", "EXEC-011": "high", "EXFIL-006": "critical", "EXFIL-008": "critical", "OBFS-001": "high", "AST-PARSE": "info", "AST-DEPTH": "info"}
@@ -42,6 +42,31 @@ class Unknown(Exception):
     """The value of an expression can't be told."""
 
 
+#: A placeholder of %-format, or a percent sign that is meant.
+_PLACE = re.compile(r"%(?:%|[-#0 +]*\d*(?:\.\d+)?[diouxXeEfFgGcrsa])")
+
+
+def filled(text: str, values: list[object]) -> str:
+    """%-format by any placeholder for as many values: a text takes its place whatever the placeholder is for."""
+    found = [m[0] for m in _PLACE.finditer(text) if m[0] != "%%"]
+    if len(found) != len(values) or not all(isinstance(v, (str, int)) for v in values):
+        raise Unknown
+    left = iter(values)
+
+    def one(m: re.Match) -> str:
+        if m[0] == "%%":
+            return "%"
+        v = next(left)
+        return v if isinstance(v, str) else m[0] % v
+
+    return _PLACE.sub(one, text)
+
+
+def literal(node: ast.expr) -> bool:
+    """A number as it is written, with or without a sign."""
+    return isinstance(node, ast.Constant) or (isinstance(node, ast.UnaryOp) and isinstance(node.operand, ast.Constant))
+
+
 class Source:
     def __init__(self, tree: ast.Module):
         self.tree = tree
@@ -121,11 +146,16 @@ class Source:
                     while outer and n not in self.values.get(outer, {}):
                         outer = outer.rpartition(".")[0]
                     route[n] = outer
+            changes: list[ast.Call] = []
             for node in self._own(s):
                 if isinstance(node, ast.NamedExpr):
                     self._assign(node.target, node.value, scope, route)
                 elif isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Name):
-                    self._mutate(node, scope, route)
+                    changes.append(node)
+            # what is assigned is worth what it was before it is taken out
+            late = isinstance(s, (ast.Assign, ast.AnnAssign))
+            for node in () if late else changes:
+                self._mutate(node, scope, route)
             if isinstance(s, ast.Assign):
                 for t in s.targets:
                     self._assign(t, s.value, scope, route)
@@ -136,6 +166,8 @@ class Source:
                 self._assign(s.target, load, scope, route)
             elif isinstance(s, (ast.For, ast.AsyncFor)):
                 self._loop(s, scope, route)
+            for node in changes if late else ():
+                self._mutate(node, scope, route)
             for field in ("body", "orelse", "finalbody"):
                 if isinstance(getattr(s, field, None), list) and not isinstance(s, (ast.For, ast.AsyncFor)):
                     self._collect(getattr(s, field), scope, route)
@@ -211,9 +243,12 @@ class Source:
         try:
             args = [self.value(a, scope) for a in call.args]
             if how == "update" and isinstance(held, dict):
-                held.update(*args, **{k.arg: self.value(k.value, scope) for k in call.keywords if k.arg})
-            elif isinstance(held, list) and how in ("append", "extend") and len(held) < SIZE:
+                # keywords are passed over
+                held.update(*args)
+            elif isinstance(held, list) and how in ("append", "extend"):
                 getattr(held, how)(*args)
+                if len(held) > SIZE:
+                    raise Unknown
             elif isinstance(held, list) and how == "reverse":
                 held.reverse()
             elif how == "pop":
@@ -233,7 +268,10 @@ class Source:
         one = s.body[0] if len(s.body) == 1 else None
         if isinstance(one, ast.AugAssign) and isinstance(s.target, ast.Name) and isinstance(one.target, ast.Name):
             try:
-                for item in list(self.value(s.iter, scope))[:ITEMS]:
+                items = list(self.value(s.iter, scope))
+                if len(items) > ITEMS:
+                    raise Unknown
+                for item in items:
                     self.values.setdefault(scope, {})[s.target.id] = item
                     self._collect(s.body, scope, route)
                 return
@@ -339,7 +377,7 @@ class Source:
             return held
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
             inner = go(node.operand)
-            if isinstance(inner, int):
+            if isinstance(inner, (int, float)):
                 return -inner
         if isinstance(node, ast.BinOp):
             return self._binary(node.op, go(node.left), go(node.right))
@@ -354,6 +392,8 @@ class Source:
             held = go(node.value)
             try:
                 if isinstance(node.slice, ast.Slice):
+                    if not all(p is None or literal(p) for p in (node.slice.lower, node.slice.upper, node.slice.step)):
+                        raise Unknown
                     return held[slice(*(None if p is None else go(p) for p in (node.slice.lower, node.slice.upper, node.slice.step)))]
                 return held[go(node.slice)]
             except (TypeError, KeyError, IndexError, ValueError) as e:
@@ -369,8 +409,10 @@ class Source:
         try:
             if isinstance(op, ast.Add) and type(a) is type(b) and isinstance(a, (str, bytes, int, list, tuple)):
                 return a + b
+            if isinstance(op, ast.Mod) and isinstance(a, str) and not isinstance(b, dict):
+                return filled(a, list(b) if isinstance(b, (list, tuple)) else [b])
             if isinstance(op, ast.Mod) and isinstance(a, (str, int)):
-                return a % (tuple(b) if isinstance(b, list) else b)
+                return a % b
             if isinstance(op, ast.Mult) and isinstance(b, int) and (isinstance(a, int) or (isinstance(a, (str, bytes, list)) and b <= ITEMS)):
                 return a * b
             if isinstance(op, ast.Sub) and isinstance(a, int) and isinstance(b, int):
@@ -437,7 +479,9 @@ class Source:
                 inner, how = go(args[0]), go(args[1]) if len(args) > 1 else "utf-8"
                 return inner.decode(how, "replace") if isinstance(inner, bytes) else self._unknown()
             if name == "map" and len(args) == 2:
-                items = list(go(args[1]))[:SIZE]
+                items = list(go(args[1]))
+                if len(items) > SIZE:
+                    raise Unknown
                 if isinstance(args[0], ast.Lambda):
                     return [self._lambda(args[0], [i], scope, local, depth) for i in items]
                 by = {"chr": chr, "str": str, "ord": ord}.get(self.dotted(args[0]) or "")
@@ -496,7 +540,8 @@ class Source:
             return getattr(held, method)(*(go(a) for a in node.args))
         if method == "format":
             fields = [f for _, f, _, _ in string.Formatter().parse(held) if f is not None]
-            if any(re.search(r"[.\[]", f) for f in fields):
+            kinds = {"" if f == "" else "place" if f.isdigit() else "name" for f in fields}
+            if any(re.search(r"[.\[]", f) for f in fields) or len(kinds) > 1 or not isinstance(node.func.value, ast.Constant):
                 raise Unknown
             return held.format(*(go(a) for a in node.args), **{k.arg: go(k.value) for k in node.keywords if k.arg})
         if method == "format_map" and len(node.args) == 1:
@@ -525,7 +570,7 @@ class Source:
                 yield from self._indirect(n)
         for n in nodes:
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and rotates(n):
-                yield "OBFS-001", "high", n.lineno, f"def {n.name}", "A function turns letters by 13"
+                yield "OBFS-001", "high", n.lineno, f"def {n.name}", "A function turns letters by a fixed number"
 
     def _calls(self, n: ast.Call) -> Iterator[Row]:
         name = self.dotted(n.func)
@@ -687,13 +732,13 @@ def turned(c: str) -> str:
 
 
 def rotates(f: ast.FunctionDef | ast.AsyncFunctionDef) -> bool:
-    """Whether a function has chr, ord, a remainder by 26 and a shift by 13, for capitals and small letters."""
+    """Whether a function has chr, ord and a remainder by 26, for capitals and small letters: rotation by any number."""
     calls = {n.func.id for n in ast.walk(f) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)}
     numbers = {n.value for n in ast.walk(f) if isinstance(n, ast.Constant) and isinstance(n.value, int)}
     texts = {n.value for n in ast.walk(f) if isinstance(n, ast.Constant) and isinstance(n.value, str)}
     wraps = any(isinstance(n, ast.BinOp) and isinstance(n.op, ast.Mod) and isinstance(n.right, ast.Constant) and n.right.value == 26 for n in ast.walk(f))
     cases = ({65, 97} <= numbers) or ({"a", "A"} <= texts) or ({97} <= numbers and "A" in texts) or ({65} <= numbers and "a" in texts)
-    return {"chr", "ord"} <= calls and wraps and 13 in numbers and cases
+    return {"chr", "ord"} <= calls and wraps and cases
 
 
 def analyze(text: str) -> list[Row]:

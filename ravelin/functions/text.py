@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ravelin.functions.payloads import BASE64, ESCAPES, FROM_HEX, HEX_BLOCK, HEX_ESCAPES, INVISIBLE, PERCENT, SPACES
+from ravelin.functions.payloads import BASE64, ESCAPES, FROM_HEX, HEX_BLOCK, HEX_ESCAPES, INVISIBLE, MAX_DECODED, MIN_LENGTH, PERCENT, SPACES
 
 
 def _c(c: Column | str) -> Column:
@@ -62,7 +62,7 @@ KINDS = (("base64", BASE64, (1, 2)), ("hex", FROM_HEX, (1,)), ("hex", HEX_ESCAPE
 
 
 def encoded(line: Column | str) -> Column:
-    """array<struct<kind, encoded>> of a line."""
+    """array<struct<kind, encoded>> of a line. Images in data URIs aren't payloads. A line without a run that could be one meets one regular expression."""
     found = []
     for kind, pattern, groups in KINDS:
         texts = F.regexp_extract_all(_c(line), F.lit(pattern), F.lit(groups[0]))
@@ -70,11 +70,17 @@ def encoded(line: Column | str) -> Column:
             texts = F.zip_with(texts, F.regexp_extract_all(_c(line), F.lit(pattern), F.lit(groups[1])), lambda a, b: F.when(a != "", a).otherwise(b))
         if kind == "hex":
             texts = F.transform(texts, lambda t: F.replace(t, F.lit("\\x"), F.lit("")))
-            texts = F.filter(texts, lambda t: F.length(F.replace(t, F.lit(" "), F.lit(""))) >= 20)
+            texts = F.filter(texts, lambda t: F.length(F.replace(t, F.lit(" "), F.lit(""))) >= MIN_LENGTH)
         if kind == "base64":
-            texts = F.filter(texts, lambda t: F.length(t) >= 20)
+            # what stands before a match: the line, split at the matches
+            before = F.when(_c(line).rlike(IMAGE), F.split(_c(line), pattern, -1))
+            texts = F.filter(texts, lambda t, i: (F.length(t) >= MIN_LENGTH) & ~F.coalesce(F.get(before, i).rlike(IMAGE + "$"), F.lit(False)))
         found.append(_named(kind, texts))
-    return F.concat(*found)
+    none = F.expr("cast(array() AS array<struct<kind: string, encoded: string>>)")
+    return F.when(_c(line).rlike(r"[0-9A-Za-z+/]{17}|[0-9A-Fa-f]{2}\s[0-9A-Fa-f]{2}|%[0-9A-Fa-f]{2}%|\\[uUx][0-9A-Fa-f]{2}"), F.concat(*found)).otherwise(none)
+
+
+IMAGE = "(?i)data:image/[^;]*;base64,"
 
 
 def _named(kind: str, texts: Column) -> Column:
@@ -82,15 +88,18 @@ def _named(kind: str, texts: Column) -> Column:
 
 
 def decoded(kind: Column | str, text: Column | str) -> Column:
-    """What was encoded; null where it isn't UTF-8. Unicode escapes are of four digits here."""
+    """What was encoded; null where it isn't UTF-8, is longer than MAX_DECODED bytes or names no sign."""
     t = _c(text)
     bare = F.regexp_replace(t, "=+$", "")
     padded = F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), "=")
-    valid = lambda b: F.when(F.is_valid_utf8(b.cast("string")), b.cast("string"))
-    units = F.regexp_extract_all(t, F.lit(r"\\u([0-9A-Fa-f]{4})"), F.lit(1))
+    short = lambda share: F.floor(F.length(t) * share) <= MAX_DECODED
+    valid = lambda b: F.when(F.is_valid_utf8(b.cast("string")) & (F.octet_length(b) <= MAX_DECODED), b.cast("string"))
+    units = F.regexp_extract_all(t, F.lit(r"\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})"), F.lit(0))
+    points = F.transform(units, lambda u: F.conv(F.substring(u, 3, 8), 16, 10).cast("bigint"))
+    sign = lambda p: F.when((p >= 0xD800) & (p <= 0xDFFF), "").otherwise(F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32"))
     return (
-        F.when(_c(kind) == "base64", valid(F.try_to_binary(padded, F.lit("base64"))))
-        .when(_c(kind) == "hex", valid(F.unhex(F.regexp_replace(t, r"\s", ""))))
+        F.when(_c(kind) == "base64", F.when(short(0.75), valid(F.try_to_binary(padded, F.lit("base64")))))
+        .when(_c(kind) == "hex", F.when(short(0.5), valid(F.unhex(F.regexp_replace(t, r"\s", "")))))
         .when(_c(kind) == "url", F.replace(F.try_url_decode(t), F.lit("\0"), F.lit("")))
-        .otherwise(F.array_join(F.transform(units, lambda u: F.decode(F.unhex(u), "UTF-16BE")), ""))
+        .when(F.forall(points, lambda p: p <= 0x10FFFF), F.array_join(F.transform(points, sign), ""))
     )

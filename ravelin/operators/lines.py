@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ravelin.functions.anchors import anchors
 from ravelin.functions.stages import ANSWER, QUESTION, STAGE_PATTERNS, STAGES, WINDOW
 from ravelin.functions.text import lines as split_lines
 from ravelin.sources.rules import JAVA
@@ -23,12 +24,16 @@ def _by(keys: tuple[str, ...]):
 
 
 def with_fences(lines: DataFrame, keys: tuple[str, ...] = FILE) -> DataFrame:
-    """Adds fence (the line opens or closes one), in_fence and safe (in a fence, or a comment)."""
+    """Adds fence (the line opens or closes one), in_fence and safe (in a fence, or a comment).
+
+    What a line is by itself is known before the window, so that a plan that doesn't want the
+    lines doesn't shuffle them.
+    """
     bare = F.trim(F.regexp_replace("line", r"^\s+", ""))
-    marked = lines.withColumn("fence", bare.startswith("```"))
+    marked = lines.withColumn("fence", bare.startswith("```")).withColumn("comment", bare.startswith("#") | bare.startswith("//"))
     on = F.sum(F.col("fence").cast("int")).over(_by(keys)) % 2 == 1
     inside = marked.withColumn("in_fence", on & ~F.col("fence"))
-    return inside.withColumn("safe", F.col("in_fence") | (~F.col("fence") & (bare.startswith("#") | bare.startswith("//"))))
+    return inside.withColumn("safe", F.col("in_fence") | (~F.col("fence") & F.col("comment"))).drop("comment")
 
 
 def exchanges(turns: DataFrame, kind: Column, keys: tuple[str, ...], order: str) -> DataFrame:
@@ -47,11 +52,19 @@ def line_kind() -> Column:
 
 
 def stage_mask(line: Column | str = "line") -> Column:
-    """Bit k for the stage STAGES[k] of a compound attack."""
+    """Bit k for the stage STAGES[k] of a compound attack. A line meets a regular expression only if it holds a text that any match must."""
     line = F.col(line) if isinstance(line, str) else line
     mask = F.lit(0)
     for k, stage in enumerate(STAGES):
-        mask = mask + F.when(line.rlike(JAVA + "(?i)(?:" + "|".join(STAGE_PATTERNS[stage]) + ")"), 1 << k).otherwise(0)
+        told = line.rlike(JAVA + "(?i)(?:" + "|".join(STAGE_PATTERNS[stage]) + ")")
+        texts = [anchors("(?i)" + p) for p in STAGE_PATTERNS[stage]]
+        if None not in texts:
+            near = F.lit(False)
+            for t in sorted(set().union(*texts)):
+                near = near | F.lower(line).contains(t)
+            # letters whose lower case is beyond ASCII match some of the texts' letters too
+            told = (near | line.rlike("[^\\x00-\\x7f]")) & told
+        mask = mask + F.when(told, 1 << k).otherwise(0)
     return mask
 
 

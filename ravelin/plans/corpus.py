@@ -1,9 +1,11 @@
-"""Packages of files made from the documents by expressions that Spark and DuckDB both read: every document is a file, most with a planted passage."""
+"""Packages of files made from the documents by expressions that Spark and DuckDB both read: every document is a file, most with a planted passage, some with Python source."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ravelin.plans.store import spread
+
 
 def _escaped(text: str, form: str) -> str:
     return "".join(form.format(ord(c)) for c in text)
@@ -36,6 +38,27 @@ _BLOCKS: tuple[tuple[str, ...], ...] = (
     (),
 )
 
+#: What the Python files among them end with.
+PYTHON: tuple[tuple[str, ...], ...] = (
+    ("import os", "os.system('ls')"),
+    ("from subprocess import run as go", "go(cmd, shell=True)"),
+    ("a = 'ev'", "b = 'al'", "globals()[a + b]('1')"),
+    ("getattr(__builtins__, 'ex' + 'ec')('1')",),
+    ("import pickle as p", "p.loads(data)"),
+    ("__import__('o' + 's').system('id')",),
+    ("import codecs", "exec(codecs.decode('cevag(1)', 'rot13'))"),
+    ("import subprocess", "subprocess.run(['curl', 'http://in.example.com'])"),
+    ("().__class__.__bases__[0].__subclasses__()",),
+    ("name = '%s%s' % ('ev', 'al')", "getattr(builtins, name)('1')"),
+    ("f = ''.join(['e', 'x', 'e', 'c'])", "getattr(builtins, f)('1')"),
+    ("opts = {'shell': True}", "import subprocess", "subprocess.Popen('ls', **opts)"),
+    ("import importlib", "importlib.import_module(name)"),
+    ("def broken(:", "    pass"),
+    ("eval(text)  # noqa: EXEC-002, JSEXEC-002",),
+    ("def total(xs):", "    return sum(xs)"),
+    ("import yaml", "yaml.load(text, Loader=yaml.SafeLoader)", "yaml.load(text)"),
+)
+
 
 def sql_text(text: str) -> str:
     """A text as an SQL expression without backslashes, quotes or signs beyond ASCII within its literals."""
@@ -54,26 +77,41 @@ def sql_text(text: str) -> str:
 
 
 _ID = "CAST(doc_id AS STRING)"
-PACKAGE = "concat('p', CAST(doc_id % 20 AS STRING))"
-PATH = f"""CASE WHEN doc_id < 20 THEN 'SKILL.md' ELSE CASE CAST(floor(doc_id / 20) AS INT) % 8
+#: Documents of two packages, of which the first has so many; packages grow in number with the documents.
+PAIR, FIRST = 30, 18
+_AT = f"(doc_id % {PAIR})"
+PACKAGE = f"concat('p', CAST(CAST(floor(doc_id / {PAIR}) AS BIGINT) AS STRING), CASE WHEN {_AT} < {FIRST} THEN 'a' ELSE 'b' END)"
+_SKILL = f"{_AT} IN (0, {FIRST})"
+_SCRIPT = f"(NOT {_SKILL} AND {_AT} % 8 = 1)"
+PATH = f"""CASE WHEN {_SKILL} THEN 'SKILL.md' ELSE CASE {_AT} % 8
   WHEN 0 THEN concat('docs/d_', {_ID}, '.md') WHEN 1 THEN concat('scripts/run_', {_ID}, '.py') WHEN 2 THEN concat('references/note_', {_ID}, '.md')
   WHEN 3 THEN concat('config/c_', {_ID}, '.toml') WHEN 4 THEN concat('tests/t_', {_ID}, '.md') WHEN 5 THEN concat('bin/x_', {_ID}, '.exe')
   WHEN 6 THEN concat('data/u_', {_ID}, '.xyz') ELSE concat('docs/e_', {_ID}, '.txt') END END"""
-_CASES = " ".join(f"WHEN {i} THEN {sql_text(chr(10) + chr(10).join(b))}" for i, b in enumerate(_BLOCKS) if b)
-_HEAD = f"""CASE WHEN doc_id >= 20 THEN '' WHEN doc_id % 4 = 0 THEN '---' || chr(10) || 'name: pack-' || {_ID} || chr(10) || 'description: "A pack"' || chr(10) || '---' || chr(10)
-  WHEN doc_id % 4 = 1 THEN '---' || chr(10) || 'name: Pack_' || {_ID} || chr(10) || 'description: x' || chr(10) || '---' || chr(10)
-  WHEN doc_id % 4 = 2 THEN '---' || chr(10) || '# no description' || chr(10) || 'name: pack' || chr(10) || '---' || chr(10) ELSE '' END"""
-CONTENT = f"{_HEAD} || coalesce(text, '') || CASE doc_id % {len(_BLOCKS)} {_CASES} ELSE '' END"
+
+
+def _ends(blocks: tuple[tuple[str, ...], ...]) -> str:
+    cases = " ".join(f"WHEN {i} THEN {sql_text(chr(10) + chr(10).join(b))}" for i, b in enumerate(blocks) if b)
+    return f"CASE doc_id % {len(blocks)} {cases} ELSE '' END"
+
+
+_FRONT = f"CAST(floor(doc_id / {PAIR}) AS BIGINT) % 4"
+_HEAD = f"""CASE WHEN NOT {_SKILL} THEN '' WHEN {_FRONT} = 0 THEN '---' || chr(10) || 'name: pack-' || {_ID} || chr(10) || 'description: "A pack"' || chr(10) || '---' || chr(10)
+  WHEN {_FRONT} = 1 THEN '---' || chr(10) || 'name: Pack_' || {_ID} || chr(10) || 'description: x' || chr(10) || '---' || chr(10)
+  WHEN {_FRONT} = 2 THEN '---' || chr(10) || '# no description' || chr(10) || 'name: pack' || chr(10) || '---' || chr(10) ELSE '' END"""
+#: In a Python file the text of the document is a comment.
+_UNIX = "replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+_COMMENT = f"'# ' || replace({_UNIX}, chr(10), chr(10) || '# ')"
+CONTENT = f"CASE WHEN {_SCRIPT} THEN {_COMMENT} || {_ends(PYTHON)} ELSE {_HEAD} || coalesce(text, '') || {_ends(_BLOCKS)} END"
 PLANTED_SQL = f"SELECT doc_id, {PACKAGE} AS package_id, {PATH} AS relative_path, {CONTENT} AS content FROM documents"
 #: DuckDB: the lines of the planted files.
 LINES_SQL = f"""
 planted AS ({PLANTED_SQL}),
 split_ AS (SELECT doc_id, package_id, relative_path, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS parts FROM planted),
-lines AS (SELECT doc_id, package_id, relative_path, CAST(generate_subscripts(parts, 1) AS INTEGER) AS line_no, unnest(parts) AS line FROM split_)"""
+lines AS MATERIALIZED (SELECT doc_id, package_id, relative_path, CAST(generate_subscripts(parts, 1) AS INTEGER) AS line_no, unnest(parts) AS line FROM split_)"""
 
 
 def planted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, package_id, relative_path, content, size)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     made = docs.selectExpr("doc_id", f"{PACKAGE} AS package_id", f"{PATH} AS relative_path", f"{CONTENT} AS content")
     return made.selectExpr("*", "CAST(octet_length(content) AS bigint) AS size")

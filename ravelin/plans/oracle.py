@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from ravelin.functions.payloads import ESCAPES, FROM_HEX, HEX_BLOCK, HEX_ESCAPES, PERCENT
 from ravelin.functions.stages import ANSWER, QUESTION, STAGE_PATTERNS, STAGES, WINDOW
 from ravelin.operators import signals
-from ravelin.plans.corpus import LINES_SQL, PLANTED_SQL
-from ravelin.plans.queries import _HOSTILE, CATEGORIES, CONFIG, FEW, LOOKAHEAD
+from ravelin.plans.corpus import LINES_SQL, PLANTED_SQL, PYTHON
+from ravelin.plans.queries import _AROUND, _HOSTILE, CATEGORIES, CONFIG
 from ravelin.sources.config import BINARY
 from ravelin.sources.rules import Rule, builtin_rules
 
@@ -29,28 +31,42 @@ def re2(pattern: str) -> str:
     return q(pattern)
 
 
+def matched(pattern: str, text: str) -> str:
+    """What a pattern matches. What stands for looking ahead consumes a sign, so that the rest is a group."""
+    for ahead, consumed in _RE2[:3]:
+        if ahead in pattern:
+            flags = re.match(r"(\(\?[a-z]+\))?", pattern)[0]
+            head, tail = pattern[len(flags) :].split(ahead)
+            if ahead.startswith("(?"):
+                inner = f"{flags}({head}){consumed}"
+            else:
+                name = ahead.split("(?!")[0].removesuffix(r"\b")
+                inner = f"{flags}{head}({name}){consumed.removeprefix(name)}"
+            assert not tail
+            return f"regexp_extract({text}, {q(inner)}, 1)"
+    return f"regexp_extract({text}, {re2(pattern)})"
+
+
 def hits(rules: list[Rule], carry: str = "doc_id", line: str = "line") -> str:
-    """A SELECT for each pattern, over the relation ``lines``."""
+    """A SELECT for each pattern, over the relation ``lines``; a strict rule's exclusions hold within what matched."""
     parts = []
     for r in rules:
-        no = "".join(f" AND NOT regexp_matches({line}, {re2(x)})" for x in r.excludes)
+        no = "".join(f" AND NOT regexp_matches({line}, {re2(x)})" for x in r.excludes if r.mode == "default")
         no += "".join(f" AND NOT regexp_matches(relative_path, {re2(x)})" for x in r.path_excludes)
         for i, p in enumerate(r.patterns):
-            text = "NULL" if r.rule_id in LOOKAHEAD else f"left(regexp_extract({line}, {re2(p)}), 200)"
-            parts.append(f"SELECT {q(r.rule_id)} AS rule_id, {i} AS ord, {carry}, line_no, CAST({text} AS VARCHAR) AS matched_text, {q(r.severity)} AS severity, {q(r.category)} AS category FROM lines WHERE regexp_matches({line}, {re2(p)}){no}")
+            text = f"left({matched(p, line)}, 200)"
+            within = "".join(f" AND NOT regexp_matches(regexp_extract({line}, {re2(p)}), {re2(x)})" for x in r.excludes if r.mode == "strict")
+            parts.append(f"SELECT {q(r.rule_id)} AS rule_id, {i} AS ord, {carry}, line_no, CAST({text} AS VARCHAR) AS matched_text, {q(r.severity)} AS severity, {q(r.category)} AS category FROM lines WHERE regexp_matches({line}, {re2(p)}){no}{within}")
     return "\nUNION ALL ".join(parts)
 
 
+_LINE_RULES = [r for r in builtin_rules() if r.scope == "line"]
+_MARKED = f"WITH {LINES_SQL}, marked AS MATERIALIZED ({hits(_LINE_RULES, 'package_id, relative_path')})"
 def _category(category: str) -> str:
-    rules = [r for r in builtin_rules() if r.category == category and r.mode == "default" and r.scope == "line"]
+    rules = [r for r in _LINE_RULES if r.category == category and r.mode == "default"]
     return f"WITH {LINES_SQL} SELECT rule_id, ord, doc_id, line_no, matched_text FROM ({hits(rules)})"
 
 
-def _by(*ids: str) -> list[Rule]:
-    return [r for r in builtin_rules() if r.rule_id in ids]
-
-
-_MARKED = f"WITH {LINES_SQL}, marked AS ({hits(_by(*FEW), 'package_id, relative_path')})"
 _RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 _DRIVER = "CASE category WHEN 'prompt-injection' THEN 'operator-manipulation' WHEN 'agent-manipulation' THEN 'operator-manipulation' WHEN 'malicious-code' THEN 'execution' WHEN 'tool-abuse' THEN 'execution' WHEN 'data-exfiltration' THEN 'exfiltration' WHEN 'credential-exposure' THEN 'credential-access' WHEN 'supply-chain' THEN 'remote-bootstrap' WHEN 'obfuscation' THEN 'stealth/obfuscation' END"
 
@@ -70,8 +86,8 @@ _PLAIN = f"regexp_replace(regexp_replace(regexp_replace(line, '{_INVISIBLE}', ''
 
 
 def _normalized() -> str:
-    rules = _by("PI-001", "PI-020")
-    return f"""WITH {LINES_SQL}, plain AS (SELECT * EXCLUDE (line), line AS before, {_PLAIN} AS line FROM lines),
+    rules = _LINE_RULES
+    return f"""WITH {LINES_SQL}, plain AS MATERIALIZED (SELECT * EXCLUDE (line), line AS before, {_PLAIN} AS line FROM lines),
 first_ AS (SELECT DISTINCT doc_id, line_no, rule_id FROM ({hits(rules)})),
 again AS ({hits(rules).replace('FROM lines', 'FROM plain').replace(' WHERE ', ' WHERE before <> line AND ')})
 SELECT rule_id, ord, doc_id, line_no, matched_text FROM again ANTI JOIN first_ USING (doc_id, line_no, rule_id)"""
@@ -138,6 +154,19 @@ def _says(text: str, what: str) -> str:
     return f"regexp_matches({text}, {q(signals.WORDING[what])})"
 
 
+def _judged_urls(table: str) -> str:
+    """CTEs that add driver, severity and runs to a table of (url, around)."""
+    return f"""parts_ AS (SELECT *, lower(regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^.*@', '')) AS place, lower(regexp_extract(url, '^https?://[^/?#]*([^?#;]*)', 1)) AS path, string_split(regexp_extract(url, '\\?([^#]*)', 1), '&') AS pairs FROM {table}),
+hosts AS (SELECT *, regexp_replace(place, ':\\d*$', '') AS host FROM parts_),
+facts AS (SELECT *, host <> '' AND (len(list_filter({list(signals.HOSTS)}, lambda m: contains(host, m))) > 0 OR host IN {signals.SHORTENERS}
+    OR (regexp_matches(host, '^\\d+(\\.\\d+){{3}}$') AND list_max(list_transform(string_split(host, '.'), lambda d: coalesce(TRY_CAST(d AS INT), 999))) <= 255)) AS bad,
+  len(list_filter({list(signals.HOOKS)}, lambda m: contains(host, m))) > 0 OR {_says("path", "hook")} OR {_says("around", "hook")} AS hook,
+  len(list_filter({list(signals.FILES)}, lambda e: ends_with(path, e))) > 0 AS file_,
+  {_says("around", "execution")} OR {_says("around", "remote")} AS runs,
+  len(list_filter(pairs, lambda p: contains(p, '=') AND substr(p, strpos(p, '=') + 1) <> '' AND (regexp_matches(coalesce(TRY(url_decode(replace(split_part(p, '=', 1), '+', ' '))), split_part(p, '=', 1)), {q(signals.WORDING["key"])}) OR regexp_matches(coalesce(TRY(url_decode(replace(substr(p, strpos(p, '=') + 1), '+', ' '))), substr(p, strpos(p, '=') + 1)), {q(signals.WORDING["value"])})))) > 0 AS risky FROM hosts),
+judged AS (SELECT *, CASE WHEN bad AND hook THEN 'exfiltration' WHEN bad OR file_ OR risky OR runs THEN 'remote-bootstrap' END AS driver, CASE WHEN bad THEN 'high' ELSE 'medium' END AS severity FROM facts)"""
+
+
 _HINTED = " OR ".join(f"contains(lower(s), {q(h)})" for h in signals.HINTS)
 _SNIPPETS = r"""list_concat(list_concat(regexp_extract_all(content, '(?s)```[^\n`]*\n(.*?)```', 1), regexp_extract_all(content, '`([^`\n]{4,200})`', 1)),
   regexp_extract_all(content, '(?im)^\s*(?:\$|PS>|cmd>)?\s*(?:curl|wget|bash|sh|python|pwsh|powershell)\b[^\n]+$', 0))"""
@@ -150,9 +179,21 @@ sig AS (
   UNION ALL SELECT package_id, file, role, 'PKG-003', 'high', 'credential-access' FROM asked WHERE {_says("content", "secret")}
   UNION ALL SELECT package_id, file, role, 'PKG-002', CASE WHEN NOT {_says("content", "remote")} AND {_says("content", "piped")} THEN 'critical' ELSE 'high' END, 'remote-bootstrap' FROM asked
   WHERE {_says("content", "remote")} OR (command AND {_says("content", "bootstrap")}))"""
+_URL_RE = "https?://[^\\s<>()\"''`]+"
+_URL_SIGNALS = f"""found_urls AS (SELECT package_id, file, role, content, role = 'reference' AND {_says("content", "warning")} AS quiet, regexp_extract_all(content, '{_URL_RE}') AS ms, regexp_split_to_array(content, '{_URL_RE}') AS gaps FROM texts WHERE contains(content, '://')),
+each_url AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM found_urls),
+placed AS (SELECT *, length(array_to_string(gaps[1 : i], '')) + length(array_to_string(ms[1 : i - 1], '')) AS st, length(ms[i]) AS n FROM each_url),
+cut AS (SELECT package_id, file, role, i, quiet, {_says("content", "setup")} AS setup, rtrim(ms[i], '.,;)') AS url, substr(content, greatest(0, st - 80) + 1, st + n + 80 - greatest(0, st - 80)) AS around FROM placed),
+{_judged_urls("cut")},
+urls_bad AS (SELECT *, row_number() OVER (PARTITION BY package_id, file, driver ORDER BY i) AS nth FROM judged WHERE driver IS NOT NULL),
+sig_urls AS (
+  SELECT package_id, file, role, 'PKG-004' AS rule_id, severity, driver, 1 AS suspicious_urls FROM urls_bad WHERE nth = 1
+  UNION ALL SELECT DISTINCT package_id, file, role, 'PKG-005', 'medium', 'operator-manipulation', 0 FROM judged WHERE NOT quiet AND setup AND runs)"""
+_TEXT_SIGNALS = f"{_SIGNALS}, {_URL_SIGNALS}, sig_all AS (SELECT *, 0 AS suspicious_urls FROM sig UNION ALL SELECT * FROM sig_urls)"
 _DRIVERS = ("credential-access", "execution", "exfiltration", "operator-manipulation", "remote-bootstrap", "stealth/obfuscation")
-_RISK = f"""{_MARKED}, {_SIGNALS},
-a AS (SELECT package_id, 'f' AS src, {_role('relative_path')} AS role, {_DRIVER} AS driver, severity FROM marked UNION ALL SELECT package_id, 's', role, driver, severity FROM sig),
+_RISK = f"""{_MARKED}, {_TEXT_SIGNALS},
+a AS (SELECT package_id, 'f' AS src, {_role('relative_path')} AS role, {_DRIVER} AS driver, severity FROM marked UNION ALL SELECT package_id, 's', role, driver, severity FROM sig_all),
+u AS (SELECT package_id, CAST(sum(suspicious_urls) AS INT) AS urls FROM sig_all GROUP BY package_id),
 b AS (SELECT *, {_RANK} AS rank, CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 7 WHEN 'medium' THEN 4 WHEN 'low' THEN 2 ELSE 0.5 END
     * CASE role WHEN 'entrypoint' THEN 1.4 WHEN 'script' THEN 1.35 WHEN 'config' THEN 1.1 WHEN 'support-doc' THEN 0.8 ELSE 0.35 END
     * CASE WHEN role = 'reference' AND driver IN ('operator-manipulation', 'remote-bootstrap') THEN 0.6 ELSE 1.0 END AS pts,
@@ -169,16 +210,13 @@ d AS (SELECT s.package_id, x.driver, coalesce((SELECT sum(pts) FROM b WHERE b.pa
       WHEN 'remote-bootstrap' THEN c2 * 6 + CASE WHEN wide THEN 3 ELSE 0 END ELSE 0 END AS pts FROM s, (SELECT unnest({list(_DRIVERS)}) AS driver) x),
 t AS (SELECT package_id, string_agg(driver, ',' ORDER BY pts DESC, driver) AS top_drivers FROM (SELECT * FROM d WHERE pts > 0 QUALIFY row_number() OVER (PARTITION BY package_id ORDER BY pts DESC, driver) <= 3) GROUP BY package_id)
 SELECT s.package_id, CAST(round_even(score, 0) AS INTEGER) AS score, CASE WHEN severe OR score >= 40 THEN 'severe' WHEN direct OR score >= 20 THEN 'high' WHEN score >= 8 THEN 'guarded' ELSE 'low' END AS band,
-  coalesce(top_drivers, '') AS top_drivers, c1 + c2 + c3 AS correlated_signal_count FROM s LEFT JOIN t USING (package_id)"""
-_COMMANDS = f"SELECT doc_id FROM ({PLANTED_SQL}) WHERE len(list_filter(list_transform({_SNIPPETS}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda s: {_HINTED})) > 0"
-_URLS = f"""WITH u AS (SELECT page_id, {_HOSTILE} AS url FROM pages),
-h AS (SELECT *, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host, lower(regexp_extract(url, '^https?://[^/?#]*([^?#;]*)', 1)) AS path, string_split(regexp_extract(url, '\\?([^#]*)', 1), '&') AS pairs FROM u),
-f AS (SELECT *, len(list_filter({list(signals.HOSTS)}, lambda m: contains(host, m))) > 0 OR host IN {signals.SHORTENERS}
-    OR (regexp_matches(host, '^\\d+(\\.\\d+){{3}}$') AND list_max(list_transform(string_split(host, '.'), lambda d: coalesce(TRY_CAST(d AS INT), 999))) <= 255) AS bad,
-  len(list_filter({list(signals.HOOKS)}, lambda m: contains(host, m))) > 0 OR {_says("path", "hook")} AS hook,
-  len(list_filter({list(signals.FILES)}, lambda e: ends_with(path, e))) > 0 AS file,
-  len(list_filter(pairs, lambda p: contains(p, '=') AND split_part(p, '=', 2) <> '' AND (regexp_matches(split_part(p, '=', 1), {q(signals.WORDING["key"])}) OR regexp_matches(split_part(p, '=', 2), {q(signals.WORDING["value"])})))) > 0 AS risky FROM h)
-SELECT page_id, CASE WHEN bad AND hook THEN 'exfiltration' ELSE 'remote-bootstrap' END AS driver, CASE WHEN bad THEN 'high' ELSE 'medium' END AS severity FROM f WHERE bad OR file OR risky"""
+  coalesce(top_drivers, '') AS top_drivers, coalesce(urls, 0) AS suspicious_url_count, c1 + c2 + c3 AS correlated_signal_count FROM s LEFT JOIN t USING (package_id) LEFT JOIN u USING (package_id)"""
+_COMMANDS = f"""SELECT doc_id, s AS snippet, {_HINTED} AS command FROM (SELECT doc_id, unnest(list_concat(
+    list_filter(list_transform(regexp_extract_all(content, '(?s)```[^\\n`]*\\n(.*?)```', 1), lambda x: {_STRIP.format('x')}), lambda x: x <> ''),
+    list_concat(list_transform(regexp_extract_all(content, '`([^`\\n]{{4,200}})`', 1), lambda x: {_STRIP.format('x')}),
+    list_transform(regexp_extract_all(content, '(?im)^\\s*(?:\\$|PS>|cmd>)?\\s*(?:curl|wget|bash|sh|python|pwsh|powershell)\\b[^\\n]+$', 0), lambda x: {_STRIP.format('x')})))) AS s FROM ({PLANTED_SQL}))"""
+_URLS = f"""WITH u AS (SELECT page_id, {_HOSTILE} AS url, {_AROUND} AS around FROM pages), {_judged_urls("u")}
+SELECT page_id, driver, severity FROM judged WHERE driver IS NOT NULL"""
 _REMOTE = """WITH s AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'own/repo' || page_id WHEN 1 THEN 'own/repo@v1.' || page_id WHEN 2 THEN 'own' WHEN 3 THEN 'a/b/c' ELSE 'o_w/n@' END AS source FROM pages),
 v AS (SELECT *, page_id % 5 IN (0, 1) AS ok FROM s)
 SELECT page_id, CASE WHEN ok THEN split_part(source, '/', 1) END AS owner, CASE WHEN ok THEN split_part(split_part(source, '/', 2), '@', 1) END AS repo,
@@ -189,9 +227,9 @@ SELECT page_id, line_no, 'OWN-1' AS rule_id, regexp_extract(line, '(?i)<script[^
 _FILE = r"""WITH p AS (SELECT doc_id, relative_path, content FROM (""" + PLANTED_SQL + r""")),
 x AS (SELECT doc_id, 0 AS ord, content, '(?is)exec\s*\(\s*(?:compile\s*\(\s*)?base64\.b64decode\s*\(' AS re FROM p UNION ALL SELECT doc_id, 1, content, '(?is)eval\s*\(\s*(?:compile\s*\(\s*)?base64\.b64decode\s*\(' FROM p),
 m AS (SELECT doc_id, ord, regexp_extract_all(content, re) AS found, content FROM x WHERE regexp_matches(content, re))
-SELECT doc_id, 'EXEC-009' AS rule_id, ord, CAST(len(string_split(left(content, strpos(content, found[1]) - 1), chr(10))) AS INTEGER) AS line_no FROM m
+SELECT doc_id, 'EXEC-009' AS rule_id, ord, CAST(len(string_split(left(content, strpos(content, found[1]) - 1), chr(10))) AS INTEGER) AS line_no, left(found[1], 200) AS matched_text FROM m
 WHERE NOT regexp_matches(string_split(content, chr(10))[len(string_split(left(content, strpos(content, found[1]) - 1), chr(10)))], '(?i)test.*fixture|example.*base64|anti-pattern')"""
-_STRICT = f"WITH {LINES_SQL} SELECT rule_id, ord, doc_id, line_no, matched_text FROM ({hits([Rule(r.rule_id, r.severity, r.category, patterns=r.patterns) for r in builtin_rules() if r.mode == 'strict'])}) WHERE NOT regexp_matches(matched_text, 'safe_eval|safe_exec|ast[.]literal_eval')"
+_STRICT = f"WITH {LINES_SQL} SELECT rule_id, ord, doc_id, line_no, matched_text FROM ({hits([r for r in _LINE_RULES if r.mode == 'strict'])})"
 _LEVEL = "CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END"
 _WEIGHT = f"CASE {_role('relative_path')} WHEN 'entrypoint' THEN 1.4 WHEN 'script' THEN 1.35 WHEN 'config' THEN 1.1 WHEN 'support-doc' THEN 0.8 ELSE 0.35 END"
 
@@ -202,22 +240,24 @@ ORACLE_SQL: dict[str, str] = {f"match_{c.replace('-', '_')}": _category(c) for c
     "normalize_lines": f"WITH {LINES_SQL} SELECT doc_id, line_no, {_PLAIN} AS plain FROM lines WHERE {_PLAIN} <> line",
     "match_normalized": _normalized(),
     "payload_extract": f"{_EXTRACT} SELECT doc_id, line_no, kind, encoded FROM found",
-    "payload_decode": f"""{_EXTRACT}, d AS (SELECT doc_id, line_no, kind, CASE kind WHEN 'base64' THEN decode(from_base64(encoded)) WHEN 'hex' THEN decode(unhex(replace(encoded, ' ', ''))) WHEN 'url' THEN decode(unhex(replace(encoded, '%', '')))
-      ELSE array_to_string(list_transform(regexp_extract_all(encoded, 'u([0-9A-Fa-f]{{4}})', 1), lambda u: chr(CAST('0x' || u AS INT))), '') END AS decoded FROM found WHERE kind <> 'base64' OR ends_with(encoded, '=='))
-      SELECT doc_id, line_no, kind, decoded FROM d""",
+    "payload_decode": f"""{_EXTRACT}, b AS (SELECT *, rtrim(encoded, '=') AS bare FROM found),
+      d AS (SELECT doc_id, line_no, kind, CASE kind WHEN 'base64' THEN TRY(decode(from_base64(rpad(bare, CAST(ceil(length(bare) / 4.0) * 4 AS INT), '=')))) WHEN 'hex' THEN TRY(decode(unhex(replace(encoded, ' ', '')))) WHEN 'url' THEN TRY(decode(unhex(replace(encoded, '%', ''))))
+      ELSE array_to_string(list_transform(regexp_extract_all(encoded, 'u([0-9A-Fa-f]{{4}})', 1), lambda u: chr(CAST('0x' || u AS INT))), '') END AS decoded FROM b)
+      SELECT doc_id, line_no, kind, decoded FROM d WHERE decoded IS NOT NULL""",
     "fewshot_pairs": f"WITH {_exchanges('SELECT conv_id, turn AS place, CASE role WHEN ' + q('user') + ' THEN ' + q('Q') + ' WHEN ' + q('assistant') + ' THEN ' + q('A') + ' END AS kind FROM conversations', 'conv_id', 'first_turn')} SELECT conv_id, pairs, first_turn FROM p",
     "fewshot_lines": f"WITH {LINES_SQL}, {_exchanges(f'SELECT doc_id, line_no AS place, CASE WHEN regexp_matches(line, {q("(?i)" + QUESTION)}) THEN {q("Q")} WHEN regexp_matches(line, {q("(?i)" + ANSWER)}) THEN {q("A")} END AS kind FROM lines', 'doc_id', 'line_no')} SELECT doc_id, pairs, line_no FROM p WHERE pairs >= 2",
     "fence_lines": _FENCED,
     "compound_windows": f"{_WINDOWS} SELECT doc_id, line_no, mask FROM c",
     "compound_attacks": _ATTACKS,
     "noqa_lines": f"WITH {LINES_SQL} SELECT doc_id, line_no, upper(trim(unnest(string_split(ids, ',')))) AS rule_id FROM (SELECT doc_id, line_no, regexp_extract(regexp_replace(line, {q(_NOQA_STRINGS)}, '', 'g'), '(?i)#\\s*noqa:\\s*([\\w-]+(?:\\s*,\\s*[\\w-]+)*)', 1) AS ids FROM lines) WHERE ids <> ''",
-    "rule_suppression": f"WITH {LINES_SQL} SELECT rule_id, count(*) AS n FROM ({hits(_by('PI-020', 'TOOL-001'))}) GROUP BY rule_id",
+    "rule_suppression": f"WITH {LINES_SQL} SELECT rule_id, count(*) AS n FROM ({hits([r for r in _LINE_RULES if r.rule_id not in ('PI-001', 'EXEC-001')])}) GROUP BY rule_id",
     "custom_rules": _CUSTOM,
     "file_safety": _SAFETY,
     "frontmatter_validate": _FRONT,
     "file_roles": f"SELECT doc_id, {_role('relative_path')} AS role FROM ({PLANTED_SQL})",
     "role_counts": f"SELECT package_id, {_role('relative_path')} AS role, count(*) AS n FROM ({PLANTED_SQL}) GROUP BY ALL",
     "operator_signals": f"WITH {_SIGNALS} SELECT package_id, file, role, rule_id, severity, driver FROM sig",
+    "text_signals": f"WITH {_TEXT_SIGNALS} SELECT package_id, file, role, rule_id, severity, driver, suspicious_urls FROM sig_all",
     "risk_bands": _RISK,
     "command_snippets": _COMMANDS,
     "url_signals": _URLS,
@@ -227,8 +267,41 @@ ORACLE_SQL: dict[str, str] = {f"match_{c.replace('-', '_')}": _category(c) for c
       w AS (SELECT package_id, max({_RANK}) AS worst, count(*) AS n FROM marked GROUP BY package_id)
       SELECT package_id, coalesce(n, 0) AS n, CASE WHEN worst >= 3 THEN 'block' WHEN worst >= 1 OR skipped > 0 THEN 'flag' ELSE 'pass' END AS verdict FROM f LEFT JOIN w USING (package_id)""",
     "fail_on": f"{_MARKED} SELECT package_id, CASE WHEN package_id IN (SELECT package_id FROM marked WHERE severity = 'critical') THEN 2 ELSE 0 END AS code FROM (SELECT DISTINCT package_id FROM planted)",
-    "risk_points": f"""{_MARKED}, s AS (SELECT package_id, {_DRIVER} AS driver, CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 7 WHEN 'medium' THEN 4 WHEN 'low' THEN 2 ELSE 0.5 END * {_WEIGHT} AS points, {_role('relative_path')} AS role FROM marked)
-      SELECT package_id, driver, CAST(sum(points * CASE WHEN role = 'reference' AND driver IN ('operator-manipulation', 'remote-bootstrap') THEN 0.6 ELSE 1 END) AS DOUBLE) AS points FROM s GROUP BY ALL""",
+    "risk_points": f"""{_MARKED}, {_TEXT_SIGNALS}, s AS (SELECT package_id, {_DRIVER} AS driver, severity, {_role('relative_path')} AS role FROM marked UNION ALL SELECT package_id, driver, severity, role FROM sig_all)
+      SELECT package_id, driver, CAST(sum(CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 7 WHEN 'medium' THEN 4 WHEN 'low' THEN 2 ELSE 0.5 END
+        * CASE role WHEN 'entrypoint' THEN 1.4 WHEN 'script' THEN 1.35 WHEN 'config' THEN 1.1 WHEN 'support-doc' THEN 0.8 ELSE 0.35 END
+        * CASE WHEN role = 'reference' AND driver IN ('operator-manipulation', 'remote-bootstrap') THEN 0.6 ELSE 1 END) AS DOUBLE) AS points FROM s GROUP BY ALL""",
     "report_groups": f"{_MARKED} SELECT package_id, rule_id, severity, count(*) AS occurrences, count(DISTINCT relative_path) AS files FROM marked GROUP BY ALL",
     "sarif_rows": f"{_MARKED} SELECT package_id, rule_id, {_LEVEL} AS level, relative_path AS uri, line_no AS start_line FROM marked",
 }
+
+#: What each of the planted Python sources must give: (source, line after the text, rule, severity, matched text), in order.
+_SYNTAX = (
+    (0, 2, "EXEC-002", "critical", "os.system("),
+    (1, 2, "EXEC-002", "critical", "subprocess.run(shell=True)"),
+    (2, 3, "EXEC-002", "critical", "dynamic dispatch ['eval']"),
+    (3, 1, "EXEC-006", "high", "getattr(..., 'exec')"),
+    (3, 1, "EXEC-002", "critical", "string evasion building 'exec'"),
+    (3, 1, "EXEC-002", "critical", "split variable evasion building 'exec'"),
+    (4, 2, "EXEC-007", "critical", "pickle.loads("),
+    (5, 1, "EXEC-002", "critical", "__import__(...).system("),
+    (5, 1, "EXEC-006", "high", "__import__("),
+    (6, 2, "EXEC-002", "critical", "exec("),
+    (6, 2, "OBFS-001", "high", "codecs.decode(..., 'rot13')"),
+    (7, 2, "EXFIL-008", "critical", "subprocess.run(['curl', ...])"),
+    (8, 1, "EXEC-011", "high", "__class__.__bases__.__subclasses__"),
+    (9, 1, "EXEC-002", "critical", "split variable evasion building 'eval'"),
+    (9, 2, "EXEC-006", "high", "getattr(..., name='eval')"),
+    (10, 1, "EXEC-002", "critical", "string evasion building 'exec'"),
+    (10, 1, "EXEC-002", "critical", "split variable evasion building 'exec'"),
+    (10, 2, "EXEC-006", "high", "getattr(..., f='exec')"),
+    (11, 3, "EXEC-002", "critical", "subprocess.Popen(**{'shell': ...})"),
+    (12, 2, "EXEC-006", "high", "importlib.import_module("),
+    (13, None, "AST-PARSE", "info", ""),
+    (14, 1, "EXEC-002", "critical", "eval("),
+    (16, 3, "EXEC-007", "critical", "yaml.load("),
+)
+_VALUES = ", ".join(f"({k}, {sum(x[0] == k for x in _SYNTAX[:i])}, {'NULL' if line is None else line}, {q(rule)}, {q(severity)}, {q(text)})" for i, (k, line, rule, severity, text) in enumerate(_SYNTAX))
+ORACLE_SQL["python_syntax"] = f"""WITH x(k, ord, line, rule_id, severity, matched_text) AS (VALUES {_VALUES}),
+p AS (SELECT doc_id, relative_path, len(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS before FROM ({PLANTED_SQL}) JOIN documents USING (doc_id))
+SELECT doc_id, CAST(ord AS INT) AS ord, rule_id, severity, CAST(before + line AS INT) AS line, matched_text FROM p JOIN x ON x.k = doc_id % {len(PYTHON)} WHERE ends_with(relative_path, '.py')"""

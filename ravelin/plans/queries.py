@@ -21,10 +21,8 @@ from ravelin.sources.rules import active_rules, builtin_rules
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ("doc_id", "relative_path")
 #: Limits that some of the planted packages are beyond; for file_safety alone.
-CONFIG = ScanConfig(max_file_size=20_000, max_total_size=60_000, max_file_count=45)
+CONFIG = ScanConfig(max_file_size=20_000, max_total_size=60_000, max_file_count=15)
 CATEGORIES = ("agent-manipulation", "credential-exposure", "data-exfiltration", "malicious-code", "obfuscation", "prompt-injection", "supply-chain", "tool-abuse")
-#: Patterns that look ahead match the same lines in SQL, but not the same text.
-LOOKAHEAD = ("AGENT-001", "EXFIL-004")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +36,11 @@ def lines_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_category(spark: SparkSession, sf_dir: str, category: str) -> DataFrame:
     rules = [r for r in builtin_rules() if r.category == category and r.mode == "default"]
     found = match.match_lines(_lines(spark, sf_dir), rules)
-    return found.select("rule_id", "ord", "doc_id", "line_no", F.when(~F.col("rule_id").isin(*LOOKAHEAD), F.col("matched_text")).alias("matched_text"))
+    return found.select("rule_id", "ord", "doc_id", "line_no", "matched_text")
 
 
 def match_file_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.match_files(planted_files(spark, sf_dir), builtin_rules(), ("doc_id",)).select("doc_id", "rule_id", "ord", "line_no")
+    return match.match_files(planted_files(spark, sf_dir), builtin_rules(), ("doc_id",)).select("doc_id", "rule_id", "ord", "line_no", "matched_text")
 
 
 def match_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +54,7 @@ def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [r for r in builtin_rules() if r.rule_id in ("PI-001", "PI-020")]
-    return match.match_normalized(_lines(spark, sf_dir), rules, ("doc_id", "line_no")).select("rule_id", "ord", "doc_id", "line_no", "matched_text")
+    return match.match_normalized(_lines(spark, sf_dir), builtin_rules(), ("doc_id", "line_no")).select("rule_id", "ord", "doc_id", "line_no", "matched_text")
 
 
 def payload_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +93,7 @@ def noqa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = active_rules({"PI-001", "EXEC-001"}, [])
-    found = match.match_lines(_lines(spark, sf_dir), [r for r in rules if r.rule_id in ("PI-001", "PI-020", "EXEC-001", "TOOL-001")])
+    found = match.match_lines(_lines(spark, sf_dir), active_rules({"PI-001", "EXEC-001"}, []))
     return found.groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
@@ -137,22 +133,25 @@ def operator_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wording = signals.text_signals(planted_files(spark, sf_dir)).filter("rule_id IN ('PKG-001', 'PKG-002', 'PKG-003')")
-    done = risk.risks(planted_files(spark, sf_dir).select("package_id"), _marked(spark, sf_dir), wording)
-    return done.select("package_id", "score", "band", F.array_join("top_drivers", ",").alias("top_drivers"), "correlated_signal_count")
+    done = risk.risks(planted_files(spark, sf_dir).select("package_id"), _marked(spark, sf_dir), signals.text_signals(planted_files(spark, sf_dir)))
+    return done.select("package_id", "score", "band", F.array_join("top_drivers", ",").alias("top_drivers"), "suspicious_url_count", "correlated_signal_count")
 
 
 def command_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = planted_files(spark, sf_dir)
-    return files.filter(signals.has_command("content")).select("doc_id")
+    """Every snippet of code or command, and whether it runs a tool."""
+    every = planted_files(spark, sf_dir).select("doc_id", F.explode(signals.snippets("content")).alias("snippet"))
+    return every.select("doc_id", "snippet", signals.hinted("snippet").alias("command"))
 
 
 _HOSTILE = "CASE page_id % 7 WHEN 0 THEN 'https://bit.ly/' || page_id WHEN 1 THEN 'https://10.0.0.' || (page_id % 300) || '/a' WHEN 2 THEN url || '.sh' WHEN 3 THEN 'https://x.example.com/?api_token=' || page_id WHEN 4 THEN 'https://hooks.slack.com/services/' || page_id WHEN 5 THEN 'https://raw.githubusercontent.com/a/b' ELSE url END"
 
 
+_AROUND = "CASE page_id % 4 WHEN 0 THEN 'see also the docs' WHEN 1 THEN 'Please download and RUN it' WHEN 2 THEN 'the callback goes there' ELSE '' END"
+
+
 def url_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urls = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id", f"{_HOSTILE} AS url")
-    return urls.withColumn("s", signals.url_signal("url", F.lit(""))).filter("s IS NOT NULL").select("page_id", "s.driver", "s.severity")
+    urls = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id", f"{_HOSTILE} AS url", f"{_AROUND} AS around")
+    return urls.withColumn("s", signals.url_signal("url", "around")).filter("s IS NOT NULL").select("page_id", "s.driver", "s.severity")
 
 
 def remote_source_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,14 +160,11 @@ def remote_source_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of a few rules over the planted files, in the form that aggregates take."""
-    found = match.match_lines(lines.explode_lines(planted_files(spark, sf_dir), keys=("doc_id", "package_id", "relative_path")), [r for r in builtin_rules() if r.rule_id in FEW])
+    """Findings of all line rules over the planted files, in the form that aggregates take."""
+    found = match.match_lines(lines.explode_lines(planted_files(spark, sf_dir), keys=("doc_id", "package_id", "relative_path")), builtin_rules())
     return found.select("package_id", F.col("relative_path").alias("file"), "rule_id", "severity", "category", F.col("line_no").alias("line"), "matched_text")
 
 
-FEW = ("PI-001", "PI-005", "EXEC-001", "EXEC-002", "EXFIL-003", "CRED-003", "TOOL-001", "SC-003", "SC-002")
-
-
 def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.severity_counts(_marked(spark, sf_dir))
 
@@ -184,8 +180,7 @@ def fail_on(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = text_signals(spark, sf_dir).filter("false")
-    rows = risk.scored(_marked(spark, sf_dir), none)
+    rows = risk.scored(_marked(spark, sf_dir), text_signals(spark, sf_dir))
     return rows.groupBy("package_id", "driver").agg(F.sum("points").cast("double").alias("points"))
 
 
@@ -197,52 +192,6 @@ def sarif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sarif_rows(_marked(spark, sf_dir).withColumn("description", F.lit(""))).select("package_id", "rule_id", "level", "uri", "start_line")
 
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of all active rules in the contents of the planted files, those that comments suppress left out."""
-    return content_findings(planted_files(spark, sf_dir), list(active_rules((), []))).filter("NOT suppressed").drop("ord", "suppressed")
-
-
-def severity_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.severity_counts(_found(spark, sf_dir))
-
-
-def verdict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = planted_files(spark, sf_dir)
-    skipped = files.groupBy("package_id").agg(F.sum(F.col("relative_path").endswith(".exe").cast("int")).alias("files_skipped"))
-    return risk.verdicts(skipped, _found(spark, sf_dir)).select("package_id", "n", "verdict")
-
-
-def fail_on_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.exit_codes(planted_files(spark, sf_dir).select("package_id").distinct(), _found(spark, sf_dir), "critical")
-
-
-def risk_points_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = risk.scored(_found(spark, sf_dir), text_signals(spark, sf_dir).filter("false"))
-    return rows.groupBy("package_id", "driver").agg(F.sum("points").cast("double").alias("points"))
-
-
-def risk_bands_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the signals of URLs too."""
-    done = risk.risks(planted_files(spark, sf_dir).select("package_id"), _found(spark, sf_dir), signals.text_signals(planted_files(spark, sf_dir)))
-    return done.select("package_id", "score", "band", F.array_join("top_drivers", ",").alias("top_drivers"), "correlated_signal_count")
-
-
-def report_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.report_groups(_found(spark, sf_dir))
-
-
-def sarif_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.sarif_rows(_found(spark, sf_dir)).select("package_id", "rule_id", "level", "uri", "start_line")
-
-
-def match_normalized_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.match_normalized(_lines(spark, sf_dir), active_rules((), []), ("doc_id", "line_no")).select("rule_id", "ord", "doc_id", "line_no", "matched_text")
-
-
-def rule_suppression_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.match_lines(_lines(spark, sf_dir), active_rules({"PI-001", "EXEC-001"}, [])).groupBy("rule_id").agg(F.count("*").alias("n"))
-
-
 def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding of the planted packages, with normalization, decoding, windows, contexts, syntax and comments that suppress."""
     return scan(planted_files(spark, sf_dir)).findings.select("package_id", "file", "rule_id", "severity", "line", "matched_text")
@@ -268,13 +217,11 @@ def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def python_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of syntax: each document's planted lines as a source, those that don't parse too."""
+    """Findings of syntax in all planted Python files, those that don't parse too."""
     from ravelin.functions.pysource import analyze_column
-    from ravelin.plans.corpus import _BLOCKS, sql_text
 
-    cases = " ".join(f"WHEN {i} THEN {sql_text(chr(10).join(b))}" for i, b in enumerate(_BLOCKS) if b)
-    made = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"CASE doc_id % {len(_BLOCKS)} {cases} ELSE '' END AS source")
-    return made.select("doc_id", F.inline(analyze_column("source"))).select("doc_id", "ord", "rule_id", "severity", "line", "matched_text")
+    made = planted_files(spark, sf_dir).filter("relative_path LIKE '%.py'")
+    return made.select("doc_id", F.inline(analyze_column("content"))).select("doc_id", "ord", "rule_id", "severity", "line", "matched_text")
 
 
 def content_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,6 +233,5 @@ _PLAIN = (
     lines_explode, match_file_scope, match_strict, normalize_lines, match_normalized, payload_extract, payload_decode, fewshot_pairs, fewshot_lines, fence_lines, compound_windows,
     compound_attacks, noqa_lines, rule_suppression, custom_rules, file_safety, frontmatter_validate, file_roles, role_counts, text_signals, operator_signals, risk_bands, command_snippets, url_signals, remote_source_validate,
     severity_counts, verdict, fail_on, risk_points, report_groups, sarif_rows, scan_findings, scan_results, json_report, sarif_report, text_report, python_syntax, content_scan,
-    severity_counts_all, verdict_all, fail_on_all, risk_points_all, risk_bands_all, report_groups_all, sarif_rows_all, match_normalized_all, rule_suppression_all,
 )
 QUERIES: dict[str, Query] = {f"match_{c.replace('-', '_')}": partial(match_category, category=c) for c in CATEGORIES} | {f.__name__: f for f in _PLAIN}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,14 +21,70 @@ FINDING = ("package_id", "file", "rule_id", "severity", "category", "line", "mat
 ALWAYS = ("AST-PARSE", "AST-DEPTH")
 
 
-@dataclass(frozen=True)
 class Scan:
-    """findings: a row each; results: a row for each package; signals: those of texts; files: as classified."""
+    """findings: a row each; results: a row for each package; signals: those of texts; files: as classified.
 
-    findings: DataFrame
-    results: DataFrame
-    signals: DataFrame
-    files: DataFrame
+    Findings of contents are computed once, when first asked for, as are signals, which only results need.
+    """
+
+    def __init__(self, files: DataFrame, config: ScanConfig):
+        self.config = config
+        builtin = active_rules(config.suppress_rules, [])
+        self.rules = [*builtin, *(r for r in active_rules((), config.custom_rules) if not r.builtin and r.rule_id not in config.suppress_rules)]
+        read = F.col("fs").isNull() | ~F.col("fs").isin(*filesafety.NOT_READ)
+        closed = F.coalesce(F.col("unreadable"), F.lit(False)) if "unreadable" in files.columns else F.lit(False)
+        # what turns out when a file is read; its size counts again then
+        state = F.when(closed, "FS-008").when(F.col("content").isNull(), "FS-001")
+        if config.max_file_size:
+            state = state.when(F.octet_length("content") > config.max_file_size, "FS-005")
+        self.known = files.withColumn("fs", filesafety.safety_rule(config, files.columns)).withColumn("read", read).withColumn("lost", F.when(F.col("read"), state))
+        self.files = self.known.filter("read AND lost IS NULL")
+        self.names = filesafety.schema_findings(files, files.select("package_id").distinct(), config.strict_schema)
+
+    @cached_property
+    def contents(self) -> DataFrame:
+        return kept(content_findings(self.files, self.rules))
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        return kept(signals.text_signals(self.files))
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        config = self.config
+        broken = filesafety.as_findings(self.known.filter("lost IS NOT NULL").select("package_id", F.col("relative_path").alias("file"), F.col("lost").alias("rule_id")))
+        schema = self.names.filter("error IS NOT NULL").select(
+            "package_id", F.lit("SKILL.md").alias("file"), F.lit("SV-001").alias("rule_id"), F.lit("medium" if config.strict_schema else "info").alias("severity"), F.lit("schema-validation").alias("category"),
+            F.lit(None).cast("int").alias("line"), F.lit("").alias("matched_text"), F.concat(F.lit("The front matter isn't valid: "), "error").alias("description"), F.lit("Put it right").alias("recommendation"),
+        )
+        safety = filesafety.safety_findings(self.known, config)
+        return schema.unionByName(safety).unionByName(broken).unionByName(self.contents.filter("NOT suppressed").select(*FINDING))
+
+    @cached_property
+    def results(self) -> DataFrame:
+        totals = self.known.groupBy("package_id").agg(
+            F.sum(F.when(F.col("read"), 1).otherwise(0)).alias("files_scanned"),
+            F.sum(F.when((F.col("fs") == "FS-002"), 1).otherwise(0)).alias("binary"),
+            F.sum(F.when(F.col("lost").isNotNull(), 1).otherwise(0)).alias("unread"),
+            F.sum(F.when(F.col("read") & F.col("lost").isNull(), F.octet_length("content")).otherwise(0)).cast("bigint").alias("bytes_scanned"),
+        )
+        suppressed = self.contents.filter("suppressed").groupBy("package_id").agg(F.count("*").alias("suppressed_count"))
+        packages = totals.withColumn("files_skipped", F.col("binary") + F.col("unread"))
+        judged = risk.verdicts(packages, self.findings)
+        counts = risk.severity_counts(self.findings).groupBy("package_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", F.col("n").cast("int"))))).alias("counts"))
+        reasons = F.filter(
+            F.array(F.when(F.col("unread") > 0, F.concat("unread", F.lit(" files can't be read"))), F.when(F.col("binary") > 0, F.concat("binary", F.lit(" binary files left out")))), lambda x: x.isNotNull()
+        )
+        risks = risk.risks(packages, self.findings, self.signals, self.known.filter("read").select("package_id", role("relative_path").alias("role")))
+        return (
+            judged.withColumn("degraded_reasons", reasons)
+            .join(counts, "package_id", "left")
+            .join(suppressed, "package_id", "left")
+            .join(self.names.select("package_id", F.col("name").alias("skill_name")), "package_id", "left")
+            .join(risks, "package_id", "left")
+            .withColumn("suppressed_count", F.coalesce("suppressed_count", F.lit(0)))
+            .drop("binary", "unread", "n")
+        )
 
 
 def merge_syntax() -> str:
@@ -51,7 +107,9 @@ def content_findings(files: DataFrame, rules: list) -> DataFrame:
     kept = each.withColumn("syntax", F.filter("syntax", lambda s: F.array_contains(active, s["rule_id"])))
     assert not {"EXEC-002", "EXEC-006", "EXEC-007", "EXEC-011", "OBFS-001", "EXFIL-006", "EXFIL-008"} & away.keys(), "rules of syntax hold on every path"
     merged = kept.withColumn("merged", F.expr(merge_syntax())).filter("size(merged) > 0")
-    rows = merged.select("package_id", F.col("relative_path").alias("file"), all_lines("content").alias("__rv_lines"), F.posexplode("merged").alias("ord", "f"))
+    # lines are split once a file, below the generator, and only where a comment may suppress
+    noted = merged.withColumn("__rv_lines", F.when(F.col("content").rlike("(?i)#\\s*noqa:"), all_lines("content"))).drop("content", "found", "syntax")
+    rows = noted.select("package_id", F.col("relative_path").alias("file"), "__rv_lines", F.posexplode("merged").alias("ord", "f"))
     line = F.when((F.col("f.line") >= 1) & (F.col("f.line") <= F.size("__rv_lines")), F.get("__rv_lines", F.col("f.line") - 1))
     return rows.select(
         "package_id", "file", "ord", *(f"f.{c}" for c in FINDING[2:]), F.coalesce(F.array_contains(noqa_ids(line), F.upper("f.rule_id")), F.lit(False)).alias("suppressed")
@@ -59,47 +117,10 @@ def content_findings(files: DataFrame, rules: list) -> DataFrame:
 
 
 def scan(files: DataFrame, config: ScanConfig | None = None) -> Scan:
-    """Scan packages given as rows (package_id, relative_path, content, size); ``outside`` (bool) marks links that leave the package.
+    """Scan packages given as rows (package_id, relative_path, content, size).
 
-    A null content is a file that couldn't be read as UTF-8. Packages without files don't appear.
+    ``outside`` (bool), if there, marks links that leave the package, and ``unreadable`` files
+    that couldn't be opened (FS-008). Another null content is a file that isn't UTF-8 (FS-001).
+    A file over the limit isn't read, whatever its suffix. Packages without files don't appear.
     """
-    config = config or ScanConfig()
-    builtin = active_rules(config.suppress_rules, [])
-    rules = [*builtin, *(r for r in active_rules((), config.custom_rules) if not r.builtin and r.rule_id not in config.suppress_rules)]
-    known = files.withColumn("fs", filesafety.safety_rule(config, files.columns))
-    read = known.filter(F.col("fs").isNull() | ~F.col("fs").isin(*filesafety.NOT_READ))
-    # texts are scanned once; what is found feeds several aggregates
-    contents = kept(content_findings(read, rules))
-    broken = filesafety.as_findings(read.filter("content IS NULL").select("package_id", F.col("relative_path").alias("file"), F.lit("FS-001").alias("rule_id")))
-    safety = filesafety.safety_findings(files, config)
-    names = filesafety.schema_findings(files, files.select("package_id").distinct(), config.strict_schema)
-    schema = names.filter("error IS NOT NULL").select(
-        "package_id", F.lit("SKILL.md").alias("file"), F.lit("SV-001").alias("rule_id"), F.lit("medium" if config.strict_schema else "info").alias("severity"), F.lit("schema-validation").alias("category"),
-        F.lit(None).cast("int").alias("line"), F.lit("").alias("matched_text"), F.concat(F.lit("The front matter isn't valid: "), "error").alias("description"), F.lit("Put it right").alias("recommendation"),
-    )
-    findings = schema.unionByName(safety).unionByName(broken).unionByName(contents.filter("NOT suppressed").select(*FINDING))
-    text = kept(signals.text_signals(read))
-    totals = known.groupBy("package_id").agg(
-        F.sum(F.when(F.col("fs").isNull() | ~F.col("fs").isin(*filesafety.NOT_READ), 1).otherwise(0)).alias("files_scanned"),
-        F.sum(F.when((F.col("fs") == "FS-002"), 1).otherwise(0)).alias("binary"),
-        F.sum(F.when((F.col("fs").isNull() | ~F.col("fs").isin(*filesafety.NOT_READ)) & F.col("content").isNull(), 1).otherwise(0)).alias("unread"),
-        F.sum(F.when(F.col("fs").isNull() | ~F.col("fs").isin(*filesafety.NOT_READ), F.octet_length("content")).otherwise(0)).cast("bigint").alias("bytes_scanned"),
-    )
-    suppressed = contents.filter("suppressed").groupBy("package_id").agg(F.count("*").alias("suppressed_count"))
-    packages = totals.withColumn("files_skipped", F.col("binary") + F.col("unread"))
-    judged = risk.verdicts(packages, findings)
-    counts = risk.severity_counts(findings).groupBy("package_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", F.col("n").cast("int"))))).alias("counts"))
-    reasons = F.filter(
-        F.array(F.when(F.col("unread") > 0, F.concat("unread", F.lit(" files can't be read"))), F.when(F.col("binary") > 0, F.concat("binary", F.lit(" binary files left out")))), lambda x: x.isNotNull()
-    )
-    risks = risk.risks(packages, findings, text, read.select("package_id", role("relative_path").alias("role")))
-    results = (
-        judged.withColumn("degraded_reasons", reasons)
-        .join(counts, "package_id", "left")
-        .join(suppressed, "package_id", "left")
-        .join(names.select("package_id", F.col("name").alias("skill_name")), "package_id", "left")
-        .join(risks, "package_id", "left")
-        .withColumn("suppressed_count", F.coalesce("suppressed_count", F.lit(0)))
-        .drop("binary", "unread", "n")
-    )
-    return Scan(findings, results, text, read)
+    return Scan(files, config or ScanConfig())

@@ -38,4 +38,4 @@ def test_query_is_its_sql(spark, duck, name):
 def test_contract(spark):
     assert set(ORACLE_SQL) <= set(QUERIES) and set(QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert __spark_entry__.entry(spark).count() == 20
+    assert __spark_entry__.entry(spark).count() == 14
