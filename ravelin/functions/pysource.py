@@ -756,18 +756,19 @@ def analyze(text: str) -> list[Row]:
     return rows
 
 
-@F.arrow_udf(FOUND)
-def _analyzed(texts: pa.Array) -> pa.Array:
-    out = []
+def analyzed(text: str) -> list[dict]:
+    """The findings of a source with their fields by name."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        for t in texts.to_pylist():
-            rows = analyze(t) if t is not None else []
-            out.append([
-                {"ord": i, "rule_id": rule, "severity": severity, "category": CATEGORY.get(rule, "malicious-code"), "line": line, "matched_text": matched, "description": said, "recommendation": "Write it plainly or remove it"}
-                for i, (rule, severity, line, matched, said) in enumerate(rows)
-            ])
-    return pa.array(out, FOUND_ARROW)
+        return [
+            {"ord": i, "rule_id": rule, "severity": severity, "category": CATEGORY.get(rule, "malicious-code"), "line": line, "matched_text": matched, "description": said, "recommendation": "Write it plainly or remove it"}
+            for i, (rule, severity, line, matched, said) in enumerate(analyze(text))
+        ]
+
+
+@F.arrow_udf(FOUND)
+def _analyzed(texts: pa.Array) -> pa.Array:
+    return pa.array([analyzed(t) if t is not None else [] for t in texts.to_pylist()], FOUND_ARROW)
 
 
 def analyze_column(text: Column | str) -> Column:

@@ -112,6 +112,6 @@ lines AS MATERIALIZED (SELECT doc_id, package_id, relative_path, CAST(generate_s
 
 def planted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, package_id, relative_path, content, size)."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     made = docs.selectExpr("doc_id", f"{PACKAGE} AS package_id", f"{PATH} AS relative_path", f"{CONTENT} AS content")
-    return made.selectExpr("*", "CAST(octet_length(content) AS bigint) AS size")
+    return spread(made, "doc_id", read=docs).selectExpr("*", "CAST(octet_length(content) AS bigint) AS size")

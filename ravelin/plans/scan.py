@@ -7,10 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.functions.pysource import analyze_column
 from ravelin.functions.roles import role
-from ravelin.functions.scanner import scan_columns
-from ravelin.functions.text import all_lines, noqa_ids
+from ravelin.functions.scanner import scan_files
 from ravelin.operators import filesafety, risk, signals
 from ravelin.plans.store import kept
 from ravelin.sources.config import ScanConfig
@@ -87,33 +85,11 @@ class Scan:
         )
 
 
-def merge_syntax() -> str:
-    """SQL: findings of patterns, each replaced by the last one of syntax with its rule and line; then those of syntax only, the first of each."""
-    return """
-      concat(
-        transform(found, f -> coalesce(try_element_at(filter(syntax, s -> s.rule_id = f.rule_id AND s.line = f.line), -1), f)),
-        filter(syntax, (s, i) -> NOT exists(found, f -> f.rule_id = s.rule_id AND f.line = s.line)
-          AND NOT exists(slice(syntax, 1, i), e -> e.rule_id = s.rule_id AND e.line = s.line)))"""
-
-
 def content_findings(files: DataFrame, rules: list) -> DataFrame:
     """The findings of the contents (package_id, file, ord, ..., suppressed) of files; no shuffle."""
-    active = F.array(*(F.lit(r.rule_id) for r in rules), *(F.lit(a) for a in ALWAYS))
-    python = F.when(F.col("relative_path").endswith(".py"), F.col("content"))
-    each = files.filter("content IS NOT NULL").select(
-        "package_id", "relative_path", "content", scan_columns("relative_path", "content", rules).alias("found"), analyze_column(python).alias("syntax")
-    )
-    away = {r.rule_id: r.path_excludes for r in rules if r.path_excludes}
-    kept = each.withColumn("syntax", F.filter("syntax", lambda s: F.array_contains(active, s["rule_id"])))
-    assert not {"EXEC-002", "EXEC-006", "EXEC-007", "EXEC-011", "OBFS-001", "EXFIL-006", "EXFIL-008"} & away.keys(), "rules of syntax hold on every path"
-    merged = kept.withColumn("merged", F.expr(merge_syntax())).filter("size(merged) > 0")
-    # lines are split once a file, below the generator, and only where a comment may suppress
-    noted = merged.withColumn("__rv_lines", F.when(F.col("content").rlike("(?i)#\\s*noqa:"), all_lines("content"))).drop("content", "found", "syntax")
-    rows = noted.select("package_id", F.col("relative_path").alias("file"), "__rv_lines", F.posexplode("merged").alias("ord", "f"))
-    line = F.when((F.col("f.line") >= 1) & (F.col("f.line") <= F.size("__rv_lines")), F.get("__rv_lines", F.col("f.line") - 1))
-    return rows.select(
-        "package_id", "file", "ord", *(f"f.{c}" for c in FINDING[2:]), F.coalesce(F.array_contains(noqa_ids(line), F.upper("f.rule_id")), F.lit(False)).alias("suppressed")
-    )
+    away = {r.rule_id for r in rules if r.path_excludes}
+    assert not {"EXEC-002", "EXEC-006", "EXEC-007", "EXEC-011", "OBFS-001", "EXFIL-006", "EXFIL-008"} & away, "rules of syntax hold on every path"
+    return scan_files(files, rules, ALWAYS)
 
 
 def scan(files: DataFrame, config: ScanConfig | None = None) -> Scan:

@@ -32,7 +32,7 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows by hash of the keys over all cores, if what Spark reads for them is small; larger inputs have row groups enough and aren't shuffled."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def spread(df: DataFrame, *keys: str, read: DataFrame | None = None) -> DataFrame:
+    """The rows by hash of the keys over all cores, if what Spark reads for them (``read``, or themselves) is small; larger inputs have row groups enough and aren't shuffled."""
+    size = int(str((read or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if size < SPREAD_BYTES else df
