@@ -23,7 +23,9 @@ def duck():
 
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
-    frame = frame.reindex(sorted(frame.columns), axis=1).astype(object)
+    frame = frame.reindex(sorted(frame.columns), axis=1)
+    # whole numbers with nulls: pandas has floats for Spark's, and a type of its own for DuckDB's
+    frame = frame.astype({c: "float64" for c, t in frame.dtypes.items() if str(t).startswith(("Int", "UInt")) and frame[c].isna().any()}).astype(object)
     plain = lambda v: "" if v is None or v != v else repr(round(v, 6)) if isinstance(v, float) else str(v)
     return sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False, name=None))
 
