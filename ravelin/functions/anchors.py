@@ -35,6 +35,11 @@ def _better(a: set[str] | None, b: set[str] | None) -> set[str] | None:
     return max(a, b, key=key)
 
 
+def _plain(text: str) -> bool:
+    """Whether simple lower() is all that regard to case means."""
+    return all(len(c.lower()) == 1 and len(c.upper()) == 1 for c in text)
+
+
 def _characters(items: Iterable) -> set[str] | None:
     out: set[str] = set()
     for op, value in items:
@@ -44,7 +49,7 @@ def _characters(items: Iterable) -> set[str] | None:
             out |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
         else:
             return None
-    return out if len(out) <= MOST_CHARACTERS else None
+    return out if len(out) <= MOST_CHARACTERS and all(map(_plain, out)) else None
 
 
 def _walk(tree) -> tuple[set[str] | None, set[str] | None]:
@@ -62,7 +67,8 @@ def _walk(tree) -> tuple[set[str] | None, set[str] | None]:
         must: set[str] | None = None
         whole: set[str] | None = None
         if op is C.LITERAL:
-            whole = {chr(value).lower()}
+            # case folding that ASCII and simple lower() don't share would lose matches
+            whole = {chr(value).lower()} if _plain(chr(value)) else None
         elif op is C.IN:
             whole = _characters(value)
         elif op is C.SUBPATTERN:
@@ -111,12 +117,39 @@ def anchors(pattern: str) -> set[str] | None:
         return None
     if not found or len(found) > MOST_TEXTS or any(not f.strip() for f in found):
         return None
-    # case folding that ASCII and simple lower() don't share would lose matches
     return found if all(_plain(f) for f in found) else None
 
 
-def _plain(text: str) -> bool:
-    return all(len(c.lower()) == 1 and len(c.upper()) == 1 for c in text)
+class Runs:
+    """Whether a text has a run of at least ``least`` of some ASCII characters; asked of its UTF-8, in a pass without a regular expression."""
+
+    def __init__(self, characters: Iterable[str], least: int):
+        inside = {ord(c) for c in characters}
+        self.table = bytes(1 if b in inside else 0 for b in range(256))
+        self.run = b"\1" * least
+
+    def __call__(self, data: bytes) -> bool:
+        return self.run in data.translate(self.table)
+
+
+#: Shorter runs are in too many texts to look for.
+LEAST_RUN = 8
+
+
+def needed_run(pattern: str) -> Runs | None:
+    """The run of characters of a class that every match of the pattern holds, if it has regard to case and repeats one of ASCII."""
+    try:
+        tree = P.parse(pattern)
+    except (re.error, OverflowError):
+        return None
+    if tree.state.flags & re.IGNORECASE:
+        return None
+    for op, value in tree:
+        if op is C.MAX_REPEAT and value[0] >= LEAST_RUN and len(value[2]) == 1 and value[2][0][0] is C.IN:
+            items = value[2][0][1]
+            if all((o is C.LITERAL and v < 128) or (o is C.RANGE and v[1] < 128) for o, v in items):
+                return Runs((chr(c) for o, v in items for c in ([v] if o is C.LITERAL else range(v[0], v[1] + 1))), value[0])
+    return None
 
 
 #: What matches s and i without regard to case, besides their capitals.
