@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,41 +59,58 @@ def as_findings(found: DataFrame) -> DataFrame:
     )
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once, wherever it stands."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def frontmatter(text: Column | str) -> Column:
     """struct<name, description, error> of the text of a SKILL.md; error is null if it is valid, else says what comes first."""
     text = F.col(text) if isinstance(text, str) else text
-    parts = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1)
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    bars = F.transform(parts, lambda x: strip(x) == "---")
-    end = F.array_position(F.slice(bars, 2, F.greatest(F.size(bars) - 1, F.lit(1))), True)
-    inner = F.when(end > 1, F.slice(parts, 2, (end - 1).cast("int"))).otherwise(F.expr("cast(array() AS array<string>)"))
-    used = F.filter(F.transform(inner, strip), lambda x: (x != "") & ~x.startswith("#"))
-    bad = F.exists(used, lambda x: F.instr(x, ":") == 0)
-    empty = F.exists(used, lambda x: x.startswith(":"))
-    value = lambda x: strip(F.regexp_replace(x, r"^[^:]*:", ""))
     bare = lambda v: F.when(v.rlike(r"""^(?s)(?:".*"|'.*')$""") & (F.length(v) >= 2), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
-    key = lambda x: strip(F.substring_index(x, ":", 1))
-    get = lambda name: F.element_at(F.filter(used, lambda x: key(x) == name), -1)
-    has = lambda name: F.exists(used, lambda x: key(x) == name)
-    name = F.when(has("name"), bare(value(get("name"))))
-    description = F.when(has("description"), bare(value(get("description"))))
-    length = F.length(strip(description))
-    error = (
-        F.when(text.isNull(), "missing file")
-        .when(~F.element_at(bars, 1), "no front matter")
-        .when(end == 0, "unterminated front matter")
-        .when(bad, "not key: value")
-        .when(empty, "empty key")
-        .when(~has("name"), "missing name")
-        .when(~has("description"), "missing description")
-        .when(name == "", "empty name")
-        .when(F.length(name) > 64, "long name")
-        .when(~name.rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?$"), "invalid name")
-        .when(F.instr(name, "--") > 0, "double hyphen in name")
-        .when(length == 0, "empty description")
-        .when(length > 1024, "long description")
-    )
-    return F.struct(name.alias("name"), description.alias("description"), error.alias("error"))
+
+    def of_values(bars: Column, end: Column, used: Column, keys: Column, name: Column, description: Column) -> Column:
+        length = F.length(strip(description))
+        error = (
+            F.when(text.isNull(), "missing file")
+            .when(~F.element_at(bars, 1), "no front matter")
+            .when(end == 0, "unterminated front matter")
+            .when(F.exists(used, lambda x: F.instr(x, ":") == 0), "not key: value")
+            .when(F.exists(used, lambda x: x.startswith(":")), "empty key")
+            .when(~F.array_contains(keys, "name"), "missing name")
+            .when(~F.array_contains(keys, "description"), "missing description")
+            .when(name == "", "empty name")
+            .when(F.length(name) > 64, "long name")
+            .when(~name.rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?$"), "invalid name")
+            .when(F.instr(name, "--") > 0, "double hyphen in name")
+            .when(length == 0, "empty description")
+            .when(length > 1024, "long description")
+        )
+        return F.struct(name.alias("name"), description.alias("description"), error.alias("error"))
+
+    def of_lines(bars: Column, end: Column, used: Column) -> Column:
+        def with_keys(keys: Column) -> Column:
+            last = lambda k: F.element_at(F.filter(used, lambda x, i: F.element_at(keys, i + 1) == k), -1)
+            value = lambda k: F.when(F.array_contains(keys, k), bare(strip(F.regexp_replace(last(k), r"^[^:]*:", ""))))
+            return _let(value("name"), lambda name: _let(value("description"), lambda description: of_values(bars, end, used, keys, name, description)))
+
+        return _let(F.transform(used, lambda x: strip(F.substring_index(x, ":", 1))), with_keys)
+
+    def of_parts(parts: Column) -> Column:
+        # few lines hold a bar, and only they are stripped; array_position is null where text is
+        bars = F.transform(parts, lambda x: x.contains("---") & (strip(x) == "---"))
+
+        def with_bars(bars: Column) -> Column:
+            def with_end(end: Column) -> Column:
+                inner = F.when(end > 1, F.slice(parts, 2, (end - 1).cast("int"))).otherwise(F.expr("cast(array() AS array<string>)"))
+                return _let(F.filter(F.transform(inner, strip), lambda x: (x != "") & ~x.startswith("#")), lambda used: of_lines(bars, end, used))
+
+            return _let(F.array_position(F.slice(bars, 2, F.greatest(F.size(bars) - 1, F.lit(1))), True), with_end)
+
+        return _let(bars, with_bars)
+
+    return _let(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1), of_parts)
 
 
 def schema_findings(files: DataFrame, packages: DataFrame, strict: bool = False) -> DataFrame:
