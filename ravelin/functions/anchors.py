@@ -153,13 +153,13 @@ def needed_run(pattern: str) -> Runs | None:
 
 
 #: What matches s and i without regard to case, besides their capitals.
-_FOLDED = {0x17F: "s", 0x131: "i", 0x130: "i"}
+FOLDED = {0x17F: "s", 0x131: "i", 0x130: "i"}
 
 
 def folded(text: str) -> str:
     """Lower case of the same length."""
     if not text.isascii():
-        for c, plain in _FOLDED.items():
+        for c, plain in FOLDED.items():
             text = text.replace(chr(c), plain)
     return text.lower()
 

@@ -114,8 +114,8 @@ def frontmatter(text: Column | str) -> Column:
 
 
 def schema_findings(files: DataFrame, packages: DataFrame, strict: bool = False) -> DataFrame:
-    """(package_id, name, error) with SV-001 where the front matter isn't valid; the name falls back to the package's."""
-    skill = files.filter("relative_path = 'SKILL.md'").select("package_id", frontmatter("content").alias("fm"))
+    """(package_id, name, error) with SV-001 where the front matter isn't valid; the name falls back to the package's. Files may have it as fm already."""
+    skill = files.filter("relative_path = 'SKILL.md'").select("package_id", F.col("fm") if "fm" in files.columns else frontmatter("content").alias("fm"))
     joined = packages.select("package_id").distinct().join(skill, "package_id", "left")
     error = F.coalesce(F.when(F.col("fm").isNull(), F.lit("missing file")), F.col("fm.error"))
     return joined.select("package_id", F.when(error.isNull(), F.col("fm.name")).otherwise(F.col("package_id")).alias("name"), error.alias("error"))

@@ -22,7 +22,9 @@ ALWAYS = ("AST-PARSE", "AST-DEPTH")
 class Scan:
     """findings: a row each; results: a row for each package; signals: those of texts; files: as classified.
 
-    Findings of contents are computed once, when first asked for, as are signals, which only results need.
+    Findings of contents are computed once, when first asked for, as are signals, which only results need,
+    and what is known of each file besides them (``known``, without contents): three passes over the contents
+    in all, however often findings are used.
     """
 
     def __init__(self, files: DataFrame, config: ScanConfig):
@@ -35,9 +37,19 @@ class Scan:
         state = F.when(closed, "FS-008").when(F.col("content").isNull(), "FS-001")
         if config.max_file_size:
             state = state.when(F.octet_length("content") > config.max_file_size, "FS-005")
-        self.known = files.withColumn("fs", filesafety.safety_rule(config, files.columns)).withColumn("read", read).withColumn("lost", F.when(F.col("read"), state))
-        self.files = self.known.filter("read AND lost IS NULL")
-        self.names = filesafety.schema_findings(files, files.select("package_id").distinct(), config.strict_schema)
+        self.every = files.withColumn("fs", filesafety.safety_rule(config, files.columns)).withColumn("read", read).withColumn("lost", F.when(F.col("read"), state))
+        # a null content has no findings and no signals; a filter would be pushed down to the rows that are read, with all that contents are made of
+        self.files = self.every.withColumn("content", F.when(F.col("read") & F.col("lost").isNull(), F.col("content")))
+
+    @cached_property
+    def known(self) -> DataFrame:
+        outside = ["outside"] if "outside" in self.every.columns else []
+        fm = F.when(F.col("relative_path") == "SKILL.md", filesafety.frontmatter("content")).alias("fm")
+        return kept(self.every.select("package_id", "relative_path", "size", *outside, "fs", "read", "lost", F.octet_length("content").alias("bytes"), fm))
+
+    @cached_property
+    def names(self) -> DataFrame:
+        return filesafety.schema_findings(self.known, self.known.select("package_id").distinct(), self.config.strict_schema)
 
     @cached_property
     def contents(self) -> DataFrame:
@@ -64,7 +76,7 @@ class Scan:
             F.sum(F.when(F.col("read"), 1).otherwise(0)).alias("files_scanned"),
             F.sum(F.when((F.col("fs") == "FS-002"), 1).otherwise(0)).alias("binary"),
             F.sum(F.when(F.col("lost").isNotNull(), 1).otherwise(0)).alias("unread"),
-            F.sum(F.when(F.col("read") & F.col("lost").isNull(), F.octet_length("content")).otherwise(0)).cast("bigint").alias("bytes_scanned"),
+            F.sum(F.when(F.col("read") & F.col("lost").isNull(), F.col("bytes")).otherwise(0)).cast("bigint").alias("bytes_scanned"),
         )
         suppressed = self.contents.filter("suppressed").groupBy("package_id").agg(F.count("*").alias("suppressed_count"))
         packages = totals.withColumn("files_skipped", F.col("binary") + F.col("unread"))
