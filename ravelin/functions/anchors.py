@@ -9,11 +9,13 @@ such texts is tried on every line. What is found is a superset, so results don't
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ except ImportError:  # before Python 3.11
 
 #: A class of more characters isn't spelled out; a set of more texts isn't used.
 MOST_CHARACTERS, MOST_TEXTS = 24, 400
+#: Of lines that are searched for anchors at once.
+STEP_BYTES = 1 << 20
 
 
 def _better(a: set[str] | None, b: set[str] | None) -> set[str] | None:
@@ -193,17 +197,26 @@ class Prefilter:
         """array<int> of each line: the patterns that could match."""
         if self.machine is None:
             self.build()
+        out, low = [], 0
+        # a batch has a number of lines, whatever their length; so that memory is bounded, those of some bytes are taken at once
+        ends = np.cumsum(pc.fill_null(pc.binary_length(lines), 0).to_numpy(zero_copy_only=False))
+        while low < len(lines):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + STEP_BYTES, "right")))
+            out.append(self._candidates(lines.slice(low, high - low)))
+            low = high
+        return pa.chunked_array(out, pa.list_(pa.int32())).combine_chunks() if out else pa.array([], pa.list_(pa.int32()))
+
+    def _candidates(self, lines: pa.Array) -> pa.Array:
         texts = [folded(t) for t in (t or "" for t in lines.to_pylist())]
         found: list[set[int] | None] = [None] * len(texts)
         if self.any and texts:
-            edges = np.cumsum([len(t) + 1 for t in texts])
-            hits = list(self.machine.iter("\n".join(texts)))
-            if hits:
-                rows = np.searchsorted(edges, np.fromiter((h[0] for h in hits), np.int64, len(hits)), "right").tolist()
-                for row, (_, pids) in zip(rows, hits, strict=True):
-                    if found[row] is None:
-                        found[row] = set()
-                    found[row].update(pids)
+            ends, row = np.cumsum([len(t) + 1 for t in texts]).tolist(), 0
+            for at, pids in self.machine.iter("\n".join(texts)):
+                if ends[row] <= at:
+                    row = bisect_right(ends, at, row + 1)
+                if found[row] is None:
+                    found[row] = set()
+                found[row].update(pids)
         always = [[pid for pid in self.always] if t else [] for t in texts] if self.always else None
         return pa.array([sorted(f or ()) + (always[i] if always else []) for i, f in enumerate(found)], pa.list_(pa.int32()))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -17,14 +17,26 @@ MATCHED = 200
 BROADCAST_PATTERNS = 20_000
 
 
-@F.arrow_udf(BooleanType())
-def _covered(texts: pa.Array, patterns: pa.Array, excludes: pa.Array) -> pa.Array:
-    """Whether an exclusion lies over the first match."""
-    out = []
-    for t, p, xs in zip(texts.to_pylist(), patterns.to_pylist(), excludes.to_pylist(), strict=True):
-        m = None if t is None else re.search(p.removeprefix(java("")), t)
-        out.append(m is not None and any(x.end() > m.start() and x.start() < m.end() for e in xs or () for x in re.finditer(e.removeprefix(java("")), t)))
-    return pa.array(out, pa.bool_())
+def _covered(line: Column, pid: Column, rules: list[Rule] | tuple[Rule, ...]) -> Column:
+    """Whether an exclusion lies over the first match of a pattern, by its number, in a line; a null line isn't tried.
+
+    The patterns travel with the function, not with each row.
+    """
+    patterns = {r[0]: (r[7].removeprefix(java("")), [e.removeprefix(java("")) for e in r[8]]) for r in pattern_rows(rules) if r[5] == "strict"}
+
+    @F.arrow_udf(BooleanType())
+    def covered(texts: pa.Array, pids: pa.Array) -> pa.Array:
+        out = []
+        for t, k in zip(texts, pids, strict=True):
+            hidden = False
+            if t.is_valid:
+                text, (p, xs) = t.as_py(), patterns[k.as_py()]
+                m = re.search(p, text)
+                hidden = m is not None and any(x.end() > m.start() and x.start() < m.end() for e in xs for x in re.finditer(e, text))
+            out.append(hidden)
+        return pa.array(out, pa.bool_())
+
+    return covered(line, pid)
 
 
 def match_lines(lines: DataFrame, rules: list[Rule] | tuple[Rule, ...], line: str = "line", path: str | None = "relative_path") -> DataFrame:
@@ -43,7 +55,7 @@ def match_lines(lines: DataFrame, rules: list[Rule] | tuple[Rule, ...], line: st
     if path:
         both = both.filter(F.expr(f"NOT exists(path_excludes, x -> `{path}` rlike x)"))
     strict = F.col("mode") == "strict"
-    over = _covered(F.when(strict, F.col(line)), "pattern", "excludes")
+    over = _covered(F.when(strict, F.col(line)), F.col("pid"), rules)
     both = both.filter(F.expr(f"mode = 'strict' OR NOT exists(excludes, x -> `{line}` rlike x)")).withColumn("__rv_over", over).filter("NOT __rv_over")
     return both.select(*lines.columns, "rule_id", "severity", "category", "ord", F.expr(f"left(regexp_extract(`{line}`, pattern, 0), {MATCHED})").alias("matched_text"))
 
