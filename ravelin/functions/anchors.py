@@ -9,7 +9,7 @@ such texts is tried on every line. What is found is a superset, so results don't
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import ahocorasick
@@ -168,8 +168,56 @@ def folded(text: str) -> str:
     return text.lower()
 
 
+#: The commonest letters, most common first: a node of the automaton finds its children one after the other, as they were added.
+COMMON = " enirtasdhuloc"
+
+
+def automaton(words: dict[str, list[int]]) -> ahocorasick.Automaton:
+    """An automaton of some texts, each with its numbers."""
+    machine = ahocorasick.Automaton()
+    for c in COMMON:
+        machine.add_word(c + "\0", ())
+    for t, which in words.items():
+        machine.add_word(t, tuple(which))
+    machine.make_automaton()
+    return machine
+
+
+def line_ends(lines: Iterable[str]) -> list[int]:
+    """Where each line ends in the text of them all."""
+    ends, at = [], -1
+    for line in lines:
+        at += len(line) + 1
+        ends.append(at)
+    return ends
+
+
+def by_line(machine: ahocorasick.Automaton, low: str, ends: list[int]) -> dict[int, set[int]]:
+    """The numbers of the texts that each line (from 0) of a folded text holds."""
+    out: dict[int, set[int]] = {}
+    line, of, last = 0, None, None
+    for end, which in machine.iter(low):
+        if ends[line] < end:
+            line, of = bisect_left(ends, end, line + 1), None
+        elif which is last and of is not None:
+            continue
+        if of is None:
+            of = out.setdefault(line, set())
+        of.update(which)
+        last = which
+    return out
+
+
+#: What Python's expressions and Java's may take differently: beyond ASCII letters and blanks, and below them four signs that only Python has as blanks.
+_UNLIKE = re.compile("[^\0-\t\x0b-\x1b -\x7f]")
+
+
 class Prefilter:
-    """Texts of all patterns in one automaton; travels as patterns, is built once a worker."""
+    """Texts of all patterns in one automaton; travels as patterns, is built once a worker.
+
+    What holds the texts of a pattern is tried with it too where Python and Java agree on every match,
+    so that Java, which compiles a pattern anew whenever rows change it, sees few rows.
+    """
 
     def __init__(self, patterns: list[tuple[int, str]]):
         self.patterns = patterns
@@ -179,19 +227,40 @@ class Prefilter:
         return (Prefilter, (self.patterns,))
 
     def build(self) -> None:
-        self.machine, self.always = ahocorasick.Automaton(), []
+        self.always, self.regex = [], {}
         by: dict[str, list[int]] = {}
         for pid, p in self.patterns:
-            texts = anchors(re.sub(r"^\(\?Uud\)", "", p))
+            p = re.sub(r"^\(\?Uud\)", "", p)
+            texts = anchors(p)
             if texts is None:
-                self.always.append(pid)
+                self.always.append((pid, needed_run(p)))
             for t in texts or ():
                 by.setdefault(t, []).append(pid)
-        for t, pids in by.items():
-            self.machine.add_word(t, tuple(pids))
-        if by:
-            self.machine.make_automaton()
-        self.any = bool(by)
+            self.regex[pid] = re.compile(p) if p.isascii() else None
+        self.machine = automaton(by)
+
+    def _found(self, text: str, lines: list[str]) -> dict[int, list[int]]:
+        """The patterns worth trying on each line of a text; lines without any aren't there."""
+        found = by_line(self.machine, folded(text), line_ends(lines))
+        data = None
+        for pid, run in self.always:
+            if run:
+                data = text.encode("utf-8", "surrogatepass") if data is None else data
+                if not run(data):
+                    continue
+            for i, line in enumerate(lines):
+                if line and (run is None or run(line.encode("utf-8", "surrogatepass"))):
+                    found.setdefault(i, set()).add(pid)
+        out = {}
+        for i, pids in found.items():
+            if left := self._left(lines[i], pids):
+                out[i] = left
+        return out
+
+    def _left(self, line: str, pids: set[int]) -> list[int]:
+        if _UNLIKE.search(line):
+            return sorted(pids)
+        return [pid for pid in sorted(pids) if (p := self.regex[pid]) is None or p.search(line)]
 
     def candidates(self, lines: pa.Array) -> pa.Array:
         """array<int> of each line: the patterns that could match."""
@@ -202,23 +271,22 @@ class Prefilter:
         ends = np.cumsum(pc.fill_null(pc.binary_length(lines), 0).to_numpy(zero_copy_only=False))
         while low < len(lines):
             high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + STEP_BYTES, "right")))
-            out.append(self._candidates(lines.slice(low, high - low)))
+            texts = [t or "" for t in lines.slice(low, high - low).to_pylist()]
+            found = self._found("\n".join(texts), texts)
+            out.append(pa.array([found.get(i, []) for i in range(len(texts))], pa.list_(pa.int32())))
             low = high
         return pa.chunked_array(out, pa.list_(pa.int32())).combine_chunks() if out else pa.array([], pa.list_(pa.int32()))
 
-    def _candidates(self, lines: pa.Array) -> pa.Array:
-        texts = [folded(t) for t in (t or "" for t in lines.to_pylist())]
-        found: list[set[int] | None] = [None] * len(texts)
-        if self.any and texts:
-            ends, row = np.cumsum([len(t) + 1 for t in texts]).tolist(), 0
-            for at, pids in self.machine.iter("\n".join(texts)):
-                if ends[row] <= at:
-                    row = bisect_right(ends, at, row + 1)
-                if found[row] is None:
-                    found[row] = set()
-                found[row].update(pids)
-        always = [[pid for pid in self.always] if t else [] for t in texts] if self.always else None
-        return pa.array([sorted(f or ()) + (always[i] if always else []) for i, f in enumerate(found)], pa.list_(pa.int32()))
+    def lines_of(self, texts: pa.Array) -> pa.Array:
+        """array<struct<line_no, line, pids>> of each text: its lines, from 1, that patterns could match."""
+        if self.machine is None:
+            self.build()
+        out = []
+        for t in texts:
+            text = (t.as_py() or "").replace("\r\n", "\n").replace("\r", "\n")
+            lines = text.split("\n")
+            out.append([{"line_no": i + 1, "line": lines[i], "pids": pids} for i, pids in sorted(self._found(text, lines).items())])
+        return pa.array(out, pa.list_(pa.struct([("line_no", pa.int32()), ("line", pa.string()), ("pids", pa.list_(pa.int32()))])))
 
 
 def candidate_patterns(line: Column | str, patterns: list[tuple[int, str]]) -> Column:
@@ -230,3 +298,14 @@ def candidate_patterns(line: Column | str, patterns: list[tuple[int, str]]) -> C
         return prefilter.candidates(lines)
 
     return find(line)
+
+
+def candidate_lines(text: Column | str, patterns: list[tuple[int, str]]) -> Column:
+    """array<struct<line_no: int, line: string, pids: array<int>>> column: the lines of a text on which patterns are worth trying, and which; the other lines never leave Python."""
+    prefilter = Prefilter(patterns)
+
+    @F.arrow_udf("array<struct<line_no: int, line: string, pids: array<int>>>")
+    def find(texts: pa.Array) -> pa.Array:
+        return prefilter.lines_of(texts)
+
+    return find(text)

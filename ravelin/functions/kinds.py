@@ -8,4 +8,4 @@ from pyspark.sql import types as T
 _NAMES = ("ord", "rule_id", "severity", "category", "line", "matched_text", "description", "recommendation")
 FOUND = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n in ("ord", "line") else T.StringType()) for n in _NAMES]))
 FOUND_ARROW = pa.list_(pa.struct([(n, pa.int32() if n in ("ord", "line") else pa.string()) for n in _NAMES]))
-URLS = T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("context", T.StringType())]))
+LOOKED = T.StructType([T.StructField("near", T.IntegerType()), T.StructField("urls", T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("context", T.StringType())])))])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ravelin.functions.anchors import candidate_patterns
+from ravelin.functions.anchors import candidate_lines, candidate_patterns
 from ravelin.sources.rules import Rule, java, pattern_rows, patterns_frame
 
 MATCHED = 200
@@ -45,19 +45,30 @@ def match_lines(lines: DataFrame, rules: list[Rule] | tuple[Rule, ...], line: st
     Lines without the anchors of a pattern never meet its regular expression; what they meet is
     tried in the JVM. Neither step shuffles.
     """
-    spark = lines.sparkSession
     rules = [r for r in rules if r.scope == "line"]
-    rows = pattern_rows(rules)
-    near = lines.withColumn("__rv_pid", F.explode(candidate_patterns(line, [(r[0], r[7]) for r in rows])))
-    table = patterns_frame(spark, rules)
-    table = F.broadcast(table) if len(rows) <= BROADCAST_PATTERNS else table
+    near = lines.withColumn("__rv_pid", F.explode(candidate_patterns(line, [(r[0], r[7]) for r in pattern_rows(rules)])))
+    return _matched(near, lines.columns, rules, line, path)
+
+
+def match_texts(files: DataFrame, rules: list[Rule] | tuple[Rule, ...], keys: tuple[str, ...], text: str = "content", path: str | None = "relative_path") -> DataFrame:
+    """match_lines() over the lines of whole texts, as explode_lines(files, text, keys) has them; only the lines that are worth trying are ever rows."""
+    rules = [r for r in rules if r.scope == "line"]
+    found = files.select(*keys, F.inline(candidate_lines(text, [(r[0], r[7]) for r in pattern_rows(rules)])))
+    near = found.select(*keys, "line_no", "line", F.explode("pids").alias("__rv_pid"))
+    return _matched(near, [*keys, "line_no", "line"], rules, "line", path)
+
+
+def _matched(near: DataFrame, columns: list[str], rules: list[Rule], line: str, path: str | None) -> DataFrame:
+    """What is left of lines and numbers of patterns (__rv_pid) when the patterns are tried."""
+    table = patterns_frame(near.sparkSession, rules)
+    table = F.broadcast(table) if sum(len(r.patterns) for r in rules) <= BROADCAST_PATTERNS else table
     both = near.join(table, F.col("__rv_pid") == F.col("pid")).filter(F.expr(f"`{line}` rlike pattern"))
     if path:
         both = both.filter(F.expr(f"NOT exists(path_excludes, x -> `{path}` rlike x)"))
     strict = F.col("mode") == "strict"
     over = _covered(F.when(strict, F.col(line)), F.col("pid"), rules)
     both = both.filter(F.expr(f"mode = 'strict' OR NOT exists(excludes, x -> `{line}` rlike x)")).withColumn("__rv_over", over).filter("NOT __rv_over")
-    return both.select(*lines.columns, "rule_id", "severity", "category", "ord", F.expr(f"left(regexp_extract(`{line}`, pattern, 0), {MATCHED})").alias("matched_text"))
+    return both.select(*columns, "rule_id", "severity", "category", "ord", F.expr(f"left(regexp_extract(`{line}`, pattern, 0), {MATCHED})").alias("matched_text"))
 
 
 def match_normalized(lines: DataFrame, rules: list[Rule] | tuple[Rule, ...], keys: tuple[str, ...], line: str = "line", path: str | None = "relative_path") -> DataFrame:

@@ -35,7 +35,7 @@ def lines_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_category(spark: SparkSession, sf_dir: str, category: str) -> DataFrame:
     rules = [r for r in builtin_rules() if r.category == category and r.mode == "default"]
-    found = match.match_lines(_lines(spark, sf_dir), rules)
+    found = match.match_texts(planted_files(spark, sf_dir), rules, KEYS)
     return found.select("rule_id", "ord", "doc_id", "line_no", "matched_text")
 
 
@@ -44,7 +44,7 @@ def match_file_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = match.match_lines(_lines(spark, sf_dir), [r for r in builtin_rules() if r.mode == "strict"])
+    found = match.match_texts(planted_files(spark, sf_dir), [r for r in builtin_rules() if r.mode == "strict"], KEYS)
     return found.select("rule_id", "ord", "doc_id", "line_no", "matched_text")
 
 
@@ -93,7 +93,7 @@ def noqa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = match.match_lines(_lines(spark, sf_dir), active_rules({"PI-001", "EXEC-001"}, []))
+    found = match.match_texts(planted_files(spark, sf_dir), active_rules({"PI-001", "EXEC-001"}, []), KEYS)
     return found.groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
@@ -161,7 +161,7 @@ def remote_source_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all line rules over the planted files, in the form that aggregates take."""
-    found = match.match_lines(lines.explode_lines(planted_files(spark, sf_dir), keys=("doc_id", "package_id", "relative_path")), builtin_rules())
+    found = match.match_texts(planted_files(spark, sf_dir), builtin_rules(), ("package_id", "relative_path"))
     return found.select("package_id", F.col("relative_path").alias("file"), "rule_id", "severity", "category", F.col("line_no").alias("line"), "matched_text")
 
 
