@@ -124,6 +124,46 @@ def anchors(pattern: str) -> set[str] | None:
     return found if all(_plain(f) for f in found) else None
 
 
+def _needs(tree) -> list[set[str]]:
+    out: list[set[str]] = []
+    run = ""
+    for op, value in [*tree, (None, None)]:
+        if op is C.LITERAL and _plain(chr(value)) and value != 10:
+            run += chr(value).lower()
+            continue
+        if run:
+            out.append({run})
+            run = ""
+        if op is C.SUBPATTERN:
+            out += _needs(value[-1])
+        elif op is C.BRANCH:
+            must = [_walk(x)[0] for x in value[1]]
+            if all(m is not None for m in must):
+                out.append(set().union(*must))
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[0]:
+            out += _needs(value[2])
+    return [texts for texts in out if len(texts) <= MOST_TEXTS and all(map(_plain, texts)) and not any("\n" in t for t in texts)]
+
+
+#: Of texts in a set of needs(): to look for more takes longer than the expressions.
+MOST_NEEDED = 12
+
+
+def needs(pattern: str) -> list[tuple[str, ...]]:
+    """Sets of few lower-case texts: besides one of anchors() every match of the pattern holds one of each of them."""
+    try:
+        found = _needs(P.parse(pattern))
+    except (re.error, OverflowError):
+        return []
+    most = anchors(pattern)
+    return sorted({tuple(sorted(texts)) for texts in found if texts != most and len(texts) <= MOST_NEEDED}, key=lambda t: (len(t), -len(t[0]), t))
+
+
+def unlikely(low: str, which: Iterable[int], needed: list[list[tuple[str, ...]]] | dict[int, list[tuple[str, ...]]]) -> set[int]:
+    """Those of some patterns that match nowhere in a folded text, as it lacks a text that they need."""
+    return {i for i in which if not all(any(t in low for t in texts) for texts in needed[i])}
+
+
 class Runs:
     """Whether a text has a run of at least ``least`` of some ASCII characters; asked of its UTF-8, in a pass without a regular expression."""
 
@@ -227,7 +267,7 @@ class Prefilter:
         return (Prefilter, (self.patterns,))
 
     def build(self) -> None:
-        self.always, self.regex = [], {}
+        self.always, self.regex, self.needed = [], {}, {}
         by: dict[str, list[int]] = {}
         for pid, p in self.patterns:
             p = re.sub(r"^\(\?Uud\)", "", p)
@@ -236,12 +276,16 @@ class Prefilter:
                 self.always.append((pid, needed_run(p)))
             for t in texts or ():
                 by.setdefault(t, []).append(pid)
+            self.needed[pid] = needs(p)
             self.regex[pid] = re.compile(p) if p.isascii() else None
         self.machine = automaton(by)
 
     def _found(self, text: str, lines: list[str]) -> dict[int, list[int]]:
         """The patterns worth trying on each line of a text; lines without any aren't there."""
-        found = by_line(self.machine, folded(text), line_ends(lines))
+        low = folded(text)
+        found = by_line(self.machine, low, line_ends(lines))
+        if lost := unlikely(low, set().union(*found.values()), self.needed):
+            found = {i: pids - lost for i, pids in found.items()}
         data = None
         for pid, run in self.always:
             if run:

@@ -6,7 +6,8 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ravelin.functions.anchors import Prefilter
+from ravelin.functions.anchors import Prefilter, folded, line_ends, needs
+from ravelin.functions.scanner import Scanner
 from ravelin.operators import lines, match, signals
 from ravelin.sources.rules import builtin_rules, pattern_rows
 
@@ -56,3 +57,22 @@ def test_a_look_at_a_text_is_near(spark):
     for what in signals.SIGNS:
         near = F.coalesce(signals.near("low", what), F.lit(False)) & (F.col("low").contains("://") | F.lit(what != "setup"))
         assert made.filter((F.col("bits").bitwiseAND(F.lit(signals._BITS[what])) != 0) != near).count() == 0, what
+
+
+def test_a_pattern_needs_all_its_texts():
+    assert set(needs(r"(?i)from\s+now\s+on\s+(?:you|we)\s+ar[eé]")) >= {("now",), ("on",), ("we", "you")}
+    assert needs(r"a?b*(?!cd)") == [] and needs("x\ny") == [("x",), ("y",)]
+    for rule in builtin_rules():
+        for p in rule.patterns:
+            assert all(t == folded(t) for texts in needs(p) for t in texts)
+
+
+def test_texts_that_lack_what_a_pattern_needs_meet_no_expression():
+    scanner = Scanner(builtin_rules())
+    scanner.build()
+    lines = ["you have it from here", "and from the words of a text, als ob", "so you said"] * 30
+    near = scanner.candidates(" ".join(lines), line_ends(lines))
+    tried = {scanner.patterns[i].regex.pattern for which in near.values() for i in which}
+    assert not any("from" in p or "als" in p for p in tried)
+    said = ["from", "now on", "ignore all", "of this"]
+    assert any("from" in scanner.patterns[i].regex.pattern for which in scanner.candidates(" ".join(said), line_ends(said)).values() for i in which)
